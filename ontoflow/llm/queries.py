@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import packing, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op6_packing": packing.op6_packing,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 
