@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_files, url_filter
+from . import packing, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op6_packing": packing.op6_packing,
         "op8_token_files": token_files.op8_token_files,
+        "op7_warc": warc.op7_warc,
     }
 
 
