@@ -30,7 +30,11 @@ def path_of(url: Column) -> Column:
 
 def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """Rules (verdict, host, path) as a table; the verdict is ``allow`` or ``block``."""
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    import pyarrow as pa
+
+    # An Arrow table becomes a local relation, whose size the planner knows.
+    columns = list(zip(*rules)) or [(), (), ()]
+    return spark.createDataFrame(pa.table([pa.array(c, pa.string()) for c in columns], names=["verdict", "host", "path"]))
 
 
 def _key(host: Column, path: Column) -> Column:
