@@ -119,3 +119,29 @@ def vocabulary_path() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def map_texts(documents: DataFrame, keep: list[str], fields: list[tuple[str, str]], make, text: str = "text") -> DataFrame:
+    """The columns ``keep`` and one for each of ``fields`` (name, type), computed from whole texts.
+
+    ``make()`` is called once in each task and returns a function from a list of texts to one list of
+    values per field. Texts are handed over 256 at a time.
+    """
+    import pyspark.sql.types as T
+
+    added = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields])
+    schema = T.StructType([*documents.select(*keep).schema.fields, *added.fields])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        compute = make()
+        kinds = [to_arrow_type(f.dataType) for f in added.fields]
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                values = compute(batch.column(batch.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, k) for v, k in zip(values, kinds))], names=schema.names)
+
+    return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, schema)
