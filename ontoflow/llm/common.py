@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,7 +61,10 @@ class ChunkTokenizer:
 
     The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those
     of its space-separated chunks in a row. Chunks not met before go through the tokenizers library,
-    many in one call, and are remembered; long ones are not. ``limit`` bounds what is remembered.
+    many in one call, and are remembered. A chunk of Latin letters and one full stop or comma has the
+    ids of its lower-case letters and of the mark, as the vocabulary splits and lower-cases them too.
+    At ``limit`` chunks the first ``limit // 3``, frequent words among them, stay; long chunks are
+    never remembered.
     """
 
     def __init__(self, path: str, limit: int = 700_000, longest: int = 48):
@@ -69,25 +73,47 @@ class ChunkTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {"": b""}
         self._limit, self._longest = limit, longest
+        self._known.update(zip((".", ","), self._encode([".", ","])))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
-        known, out = self._known, []
+        out = []
         for a in range(0, len(texts), 256):
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[a : a + 256]]
-            new = dict.fromkeys(c for chunks in split for c in chunks if c not in known)
-            if new and len(known) + len(new) > self._limit:
-                known.clear()
-                known[""] = b""
-                new = dict.fromkeys(c for chunks in split for c in chunks if c)
+            new: set[str] = set()
+            for chunks in split:
+                new.update(set(chunks).difference(self._known))
+            if len(self._known) + len(new) > self._limit:
+                self._known = dict(islice(self._known.items(), self._limit // 3))
+                new = {c for chunks in split for c in chunks if c not in self._known}
             if new:
-                known.update(zip(new, self._encode(list(new))))
+                self._learn(new)
+            known = self._known
             out += [b"".join(map(known.__getitem__, chunks)) for chunks in split]
             for chunk in new:
                 if len(chunk) > self._longest:
-                    known.pop(chunk, None)
+                    del known[chunk]
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        known, plain, other = self._known, {}, []
+        for c in new:
+            mark = c[-1] if c[-1] in ".," else ""
+            letters = c[:-1] if mark else c
+            low = letters.lower()
+            if low.isalpha() and (low.isascii() or max(letters) < "\u0250"):
+                plain[c] = low, mark
+            else:
+                other.append(c)
+        wanted = {low for low, _ in plain.values()}.difference(known)
+        other += wanted.difference(other)
+        known.update(zip(other, self._encode(other)))
+        for c, (low, mark) in plain.items():
+            known[c] = known[low] + known[mark]
+        for low in wanted.difference(new):
+            if len(low) > self._longest:
+                del known[low]
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
         import numpy as np
 

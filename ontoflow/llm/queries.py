@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, packing, token_files, url_filter, warc
+from . import decontamination, language, packing, token_files, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op7_warc": warc.op7_warc,
         "op9_language": language.op9_language,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
