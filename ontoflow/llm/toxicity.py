@@ -12,7 +12,8 @@ number of landmarks. Gapped and inserted characters cost weight but keep the sub
 
 A document is the set of its units: its words, without signs and in lower case, with digits and signs
 that stand for letters read as those, and runs of single letters joined. Its score is a logistic
-function of the largest unit score. Units learn their labels from the labelled documents: one is
+function of the largest unit score and of how many units score above 0, as a number and as a share of
+all, since in a long clean text a few do by chance. Units learn their labels from the labelled documents: one is
 taken for toxic if it, or a four-letter part of it, occurs in toxic documents far more often than the
 share of toxic documents explains.
 """
@@ -83,8 +84,8 @@ def _subsequences(codes: np.ndarray):
         yield hashed.astype(np.int64), whole, _DECAY ** (offsets[-1] + 1 - len(offsets))
 
 
-def unit_scores(units: list[str], weights: np.ndarray) -> np.ndarray:
-    """phi(unit) . weights of each unit."""
+def unit_scores(units: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """phi(unit) . weights + bias of each unit."""
     out = np.full(len(units), -math.inf)
     for a in range(0, len(units), 20_000):
         part = units[a : a + 20_000]
@@ -95,7 +96,7 @@ def unit_scores(units: list[str], weights: np.ndarray) -> np.ndarray:
             value += np.where(whole, weights[hashed] * np.float32(weight), 0)
             size += np.where(whole, np.float32(weight * weight), 0)
         total, norm = np.add.reduceat(value, starts), np.add.reduceat(size, starts)
-        out[a : a + len(part)] = total / np.sqrt(np.maximum(norm, 1e-9))
+        out[a : a + len(part)] = total / np.sqrt(np.maximum(norm, 1e-9)) + bias
     return out
 
 
@@ -114,8 +115,8 @@ def feature_rows(units: list[str]):
     return rows, hashes, values / np.sqrt(np.maximum(norm, 1e-9))[rows]
 
 
-def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 256, c: float = 4.0) -> np.ndarray:
-    """The weight of every hashed subsequence, from units of both kinds, most telling first."""
+def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 256, c: float = 4.0) -> tuple[np.ndarray, float]:
+    """The weight of every hashed subsequence and the bias, from units of both kinds, most telling first."""
     chosen = positive[: landmarks // 2] + negative[: landmarks - min(len(positive), landmarks // 2)]
     phi = np.zeros((len(chosen), 1 << _HASH_BITS), np.float32)
     r, h, v = feature_rows(chosen)
@@ -147,25 +148,22 @@ def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 256, c
         if np.allclose(new, theta, atol=1e-9):
             break
         theta = new
-    return ((whiten @ theta[:-1]) @ phi).astype(np.float32)
+    return ((whiten @ theta[:-1]) @ phi).astype(np.float32), float(theta[-1])
 
 
 class Model:
-    """Weights of subsequences, and the logistic function from a document's best unit to its score."""
+    """Weights of subsequences, and the logistic function from a document's units to its score."""
 
-    def __init__(self, weights: np.ndarray, slope: float, offset: float):
-        self.weights, self.slope, self.offset = weights, slope, offset
+    def __init__(self, weights: np.ndarray, bias: float, logistic: list[float]):
+        self.weights, self.bias, self.logistic = weights, bias, logistic
 
     def scorer(self, limit: int = 500_000, longest: int = 48):
-        """A function from texts to margins: the largest unit score of each, -inf without units."""
+        """A function from texts to (largest unit score, units above 0, units); -inf without units."""
         known: dict[str, float] = {"": -math.inf}
 
-        def margins(texts: list[str | None]) -> list[float]:
+        def measure(texts: list[str | None]) -> list[tuple[float, int, int]]:
             nonlocal known
-            split, spaced = [], []
-            for t in texts:
-                split.append(t.split() if t else [])
-                spaced.append(spaced_units(t) if t else [])
+            split = [t.split() if t else [] for t in texts]
             new: set[str] = set()
             for chunks in split:
                 new.update(set(chunks).difference(known))
@@ -176,25 +174,29 @@ class Model:
                 fresh = list(new)
                 units = [unit(c) for c in fresh]
                 distinct = list({u for u in units if u})
-                score = dict(zip(distinct, unit_scores(distinct, self.weights).tolist())) if distinct else {}
+                score = dict(zip(distinct, unit_scores(distinct, self.weights, self.bias).tolist())) if distinct else {}
                 score[""] = -math.inf
                 known.update(zip(fresh, map(score.__getitem__, units)))
             out = []
-            for chunks, joined in zip(split, spaced):
-                best = max(map(known.__getitem__, chunks), default=-math.inf)
-                if joined := [u for u in joined if u]:
-                    best = max(best, float(unit_scores(joined, self.weights).max()))
-                out.append(best)
+            for text, chunks in zip(texts, split):
+                scores = np.array(list(map(known.__getitem__, chunks)))
+                if text and (joined := [u for u in spaced_units(text) if u]):
+                    scores = np.concatenate([scores, unit_scores(joined, self.weights, self.bias)])
+                out.append((float(scores.max(initial=-math.inf)), int((scores > 0).sum()), len(scores)))
             for chunk in new:
                 if len(chunk) > longest:
                     known.pop(chunk, None)
             return out
 
-        return margins
+        return measure
 
-    def probability(self, margin: float) -> float:
-        z = self.slope * max(margin, -50.0) + self.offset
-        return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
+    def probability(self, measured: tuple[float, int, int]) -> float:
+        z = float(features(*measured) @ np.array(self.logistic))
+        return 1 / (1 + math.exp(-max(z, -500.0)))
+
+
+def features(margin: float, above: int, units: int) -> np.ndarray:
+    return np.array([min(max(margin, -2.0), 2.0), math.log1p(above), math.log((above + 0.5) / (units + 50)), 1.0])
 
 
 def _units_of(text: str | None) -> set[str]:
@@ -219,7 +221,7 @@ def fit_model(labelled: DataFrame, *, most_documents: int = 12_000, most_units:
     known = labelled.where("text IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL")
     total, bad = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not total or not bad:
-        return Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, -20.0)
+        return Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, [0.0, 0.0, 0.0, -20.0])
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, most_documents / total) * 1_000_003)
     known = known.select("text", F.col("toxic").cast("int").alias("toxic"))
     base = bad / total
@@ -259,31 +261,31 @@ def fit_model(labelled: DataFrame, *, most_documents: int = 12_000, most_units:
     taken = set(positive)
     negative = [u for u in dict.fromkeys(x for pair in zip(common, rare) for x in pair) if u not in taken] if rare else [u for u in common if u not in taken]
     if not positive or not negative:
-        return Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, -20.0)
-    model = Model(fit_svm(positive, negative), 1.0, 0.0)
-    margins = map_texts(known, ["toxic"], [("margin", "double")], lambda: _margins(model)).toPandas()
-    model.slope, model.offset = _logistic(np.maximum(margins.margin.to_numpy(), -5.0), margins.toxic.to_numpy())
-    return model
+        return Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, [0.0, 0.0, 0.0, -20.0])
+    model = Model(*fit_svm(positive, negative), [0.0, 0.0, 0.0, 0.0])
 
+    def make():
+        measure = model.scorer()
+        return lambda texts: zip(*measure(texts))
 
-def _margins(model: Model):
-    score = model.scorer()
-    return lambda texts: [score(texts)]
+    seen = map_texts(known, ["toxic"], [("margin", "double"), ("above", "long"), ("units", "long")], make).toPandas()
+    model.logistic = _logistic(np.array([features(*x) for x in zip(seen.margin, seen.above, seen.units)]), seen.toxic.to_numpy())
+    return model
 
 
-def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic fit, each label smoothed towards the other by one case."""
+def _logistic(x: np.ndarray, label: np.ndarray) -> list[float]:
+    """Coefficients of the logistic fit, each label smoothed towards the other by one case."""
     good, bad = int((label == 0).sum()), int((label != 0).sum())
     target = np.where(label != 0, (bad + 1) / (bad + 2), 1 / (good + 2))
-    x = np.stack([margin, np.ones(len(margin))], 1)
-    beta = np.zeros(2)
+    beta = np.zeros(x.shape[1])
+    ridge = 0.03 * np.eye(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * beta)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return beta.tolist()
 
 
 def score_toxicity(documents: DataFrame, model: Model, *, keep: Iterable[str] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -294,8 +296,8 @@ def score_toxicity(documents: DataFrame, model: Model, *, keep: Iterable[str] =
     """
 
     def make():
-        score = model.scorer()
-        return lambda texts: [[model.probability(m) for m in score(texts)]]
+        measure = model.scorer()
+        return lambda texts: [[model.probability(m) for m in measure(texts)]]
 
     return map_texts(documents, list(keep), [(name, "double")], make)
 
