@@ -80,19 +80,21 @@ class ChunkTokenizer:
         out = []
         for a in range(0, len(texts), 256):
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[a : a + 256]]
-            new: set[str] = set()
-            for chunks in split:
-                new.update(set(chunks).difference(self._known))
-            if len(self._known) + len(new) > self._limit:
-                self._known = dict(islice(self._known.items(), self._limit // 3))
-                new = {c for chunks in split for c in chunks if c not in self._known}
+            get = self._known.get
+            found = [list(map(get, chunks)) for chunks in split]
+            lacking = [k for k, own in enumerate(found) if None in own]
+            new = {c for k in lacking for c, v in zip(split[k], found[k]) if v is None}
             if new:
+                if len(self._known) + len(new) > self._limit:
+                    self._known = dict(islice(self._known.items(), self._limit // 3))
                 self._learn(new)
-            known = self._known
-            out += [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-            for chunk in new:
-                if len(chunk) > self._longest:
-                    del known[chunk]
+                known = self._known
+                for k in lacking:
+                    found[k] = [known[c] if v is None else v for c, v in zip(split[k], found[k])]
+                for chunk in new:
+                    if len(chunk) > self._longest:
+                        del known[chunk]
+            out += map(b"".join, found)
         return out
 
     def _learn(self, new: set[str]) -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, packing, token_files, toxicity, url_filter, warc
+from . import decontamination, language, neardup, packing, token_files, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op4_decontamination": decontamination.op4_decontamination,
+        "op5_near_duplicates": neardup.op5_near_duplicates,
         "op6_packing": packing.op6_packing,
         "op8_token_files": token_files.op8_token_files,
         "op7_warc": warc.op7_warc,
