@@ -62,15 +62,23 @@ class ChunkTokenizer:
     The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those
     of its space-separated chunks in a row. Chunks not met before go through the tokenizers library,
     many in one call, and are remembered. A chunk of Latin letters and one full stop or comma has the
-    ids of its lower-case letters and of the mark, as the vocabulary splits and lower-cases them too.
+    ids of its lower-case letters and of the mark, as the vocabulary splits and lower-cases them too;
+    such letters need no normalizer, and their last id is one that ends a word.
     At ``limit`` chunks the first ``limit // 3``, frequent words among them, stay; long chunks are
     never remembered.
     """
 
     def __init__(self, path: str, limit: int = 700_000, longest: int = 48):
-        from tokenizers import Tokenizer
+        import numpy as np
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._plain = Tokenizer.from_file(path)
+        self._plain.normalizer = normalizers.Sequence([])
+        self._plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}
         self._limit, self._longest = limit, longest
         self._known.update(zip((".", ","), self._encode([".", ","])))
@@ -78,8 +86,8 @@ class ChunkTokenizer:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
         out = []
-        for a in range(0, len(texts), 256):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[a : a + 256]]
+        for a in range(0, len(texts), 64):
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[a : a + 64]]
             get = self._known.get
             found = [list(map(get, chunks)) for chunks in split]
             lacking = [k for k, own in enumerate(found) if None in own]
@@ -107,15 +115,27 @@ class ChunkTokenizer:
                 plain[c] = low, mark
             else:
                 other.append(c)
-        wanted = {low for low, _ in plain.values()}.difference(known)
-        other += wanted.difference(other)
+        wanted = list({low for low, _ in plain.values()}.difference(known))
         known.update(zip(other, self._encode(other)))
+        known.update(zip(wanted, self._encode_plain(wanted)))
         for c, (low, mark) in plain.items():
             known[c] = known[low] + known[mark]
-        for low in wanted.difference(new):
+        for low in set(wanted).difference(new):
             if len(low) > self._longest:
                 del known[low]
 
+    def _encode_plain(self, chunks: list[str]) -> list[bytes]:
+        import numpy as np
+
+        if not chunks:
+            return []
+        ids = np.array(self._plain.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(chunks) + 1:
+            return self._encode(chunks)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
         import numpy as np
 
