@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language, neardup, packing, token_files, toxicity, url_filter, warc
+from . import ann, decontamination, html_text, language, neardup, packing, token_files, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_html_text": html_text.op2_html_text,
+        "op3_nearest": ann.op3_nearest,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_near_duplicates": neardup.op5_near_duplicates,
         "op6_packing": packing.op6_packing,
