@@ -305,6 +305,14 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     return components(links, "classes").toDF("_key", "_class")
 
 
+def _text_classes(documents: DataFrame, settings: Settings) -> DataFrame:
+    """(_key, class_id) of every distinct non-null text, and the key the class goes by."""
+    from_text = near_duplicate_classes(documents, settings)
+    texts = documents.where("text IS NOT NULL").groupBy(F.md5("text").alias("_key")).agg(F.min("doc_id").alias("_first"))
+    texts = texts.join(from_text, "_key", "left").withColumn("_class", F.coalesce("_class", "_key"))
+    return texts.select("_key", "_class", "_first")
+
+
 def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id and class_id of every row: the smallest doc_id among the texts of its class.
 
@@ -312,15 +320,28 @@ def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
     ``threshold`` or more join. A text that is null or has no words is a class of its own unless it
     equals another non-null text. Rows with a null doc_id get their class's id, if any doc_id is known.
     """
-    from_text = near_duplicate_classes(documents, settings)
-    rows = documents.select("doc_id", F.md5("text").alias("_key"))
-    texts = rows.groupBy("_key").agg(F.min("doc_id").alias("_first")).where("_key IS NOT NULL")
-    texts = texts.join(from_text, "_key", "left").withColumn("_class", F.coalesce("_class", "_key"))
+    texts = materialize(_text_classes(documents, settings), "text-classes")
     named = texts.groupBy("_class").agg(F.min("_first").alias("class_id"))
     by_text = texts.join(named, "_class").select("_key", "class_id")
+    rows = documents.select("doc_id", F.md5("text").alias("_key"))
     return rows.join(by_text, "_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def keep_one(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``documents``, all columns, one for each class: that of the smallest doc_id.
+
+    A class in which no doc_id is known keeps the row of its smallest text key. Of rows that repeat
+    one doc_id and text, one stays. Rows with a null text all stay.
+    """
+    texts = materialize(_text_classes(documents, settings), "text-classes")
+    # Null ids come last: a struct orders by its first field, and false is less than true.
+    first = texts.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("n"), F.col("_first").alias("i"), F.col("_key").alias("k"))).alias("m"))
+    kept = first.select(F.col("m.k").alias("_kept_key"), F.col("m.i").alias("_kept_id"))
+    rows = documents.withColumn("_kept_key", F.md5("text"))
+    chosen = rows.join(kept, "_kept_key").where(F.col("doc_id").eqNullSafe(F.col("_kept_id"))).dropDuplicates(["_kept_key"])
+    return chosen.select(*documents.columns).union(documents.where("text IS NULL"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates."""
     from .common import read
