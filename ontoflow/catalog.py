@@ -308,3 +308,179 @@ def path_exact(spark, sf_dir):
 def path_sparql_partial(spark, sf_dir):
     """The best share of matches over walks that take every step."""
     return partial_paths(star_graph(spark, sf_dir, _GEO), _STEPS)
+
+
+# Closures
+
+from .operators import closure, negative  # noqa: E402
+
+
+def _table(spark, rows: list[tuple], *names: str) -> DataFrame:
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table([*map(pa.array, zip(*rows))], names=list(names)))
+
+
+_NATION_EDGES = f"""(SELECT 'custNation' AS p, {_id('customer', 'c_custkey')} AS src, {_id('nation', 'c_nationkey')} AS dst FROM customer
+UNION ALL SELECT 'suppNation', {_id('supplier', 's_suppkey')}, {_id('nation', 's_nationkey')} FROM supplier
+UNION ALL SELECT 'nationRegion', {_id('nation', 'n_nationkey')}, {_id('region', 'n_regionkey')} FROM nation)"""
+_ORDER_TYPES = f"""(SELECT id, 'Order' AS cls FROM {ORDERS} UNION ALL SELECT id, o_orderpriority FROM {ORDERS} UNION ALL SELECT id, o_orderstatus FROM {ORDERS}
+UNION ALL SELECT id, 'Customer' FROM {CUSTOMERS} UNION ALL SELECT id, c_mktsegment FROM {CUSTOMERS})"""
+_SUPERS = [("1-URGENT", "Pressing"), ("2-HIGH", "Pressing"), ("Order", "Document"), ("Customer", "Party"), ("1-URGENT", "Thing"), ("2-HIGH", "Thing")]
+_SUPERS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SUPERS) + ") s(cls, sup)"
+
+
+@query("subclass_closure", f"SELECT id, cls FROM {_ORDER_TYPES} UNION SELECT t.id, sup FROM {_ORDER_TYPES} t JOIN {_SUPERS_SQL} USING (cls)")
+def subclass_closure(spark, sf_dir):
+    return closure.class_hierarchy(_customers_orders(spark, sf_dir).types, _table(spark, _SUPERS, "cls", "sup"))
+
+
+@query("subproperty_closure", f"SELECT p, src, dst FROM {_NATION_EDGES} UNION SELECT 'locatedIn', src, dst FROM {_NATION_EDGES}")
+def subproperty_closure(spark, sf_dir):
+    supers = [(p, "locatedIn") for p in ("custNation", "suppNation", "nationRegion")]
+    g = star_graph(spark, sf_dir, ["customer", "supplier", "nation", "region"])
+    return closure.property_hierarchy(g.edges, _table(spark, supers, "p", "sup"))
+
+
+@query("domain_range", f"SELECT src AS id, 'Buyer' AS cls FROM {_NATION_EDGES} WHERE p = 'custNation' UNION SELECT dst, 'Market' FROM {_NATION_EDGES} WHERE p = 'custNation' UNION SELECT dst, 'Area' FROM {_NATION_EDGES} WHERE p = 'nationRegion'")
+def domain_range(spark, sf_dir):
+    g = star_graph(spark, sf_dir, ["customer", "supplier", "nation", "region"], literals=["balance"])
+    ranges = [("custNation", "Market"), ("nationRegion", "Area"), ("hasBalance", "Amount")]
+    return closure.domain_range(g.edges, _table(spark, [("custNation", "Buyer")], "p", "cls"), _table(spark, ranges, "p", "cls"), g.nodes.where("dt IS NOT NULL").select("id"))
+
+
+@query("reflexive", f"SELECT p, id AS src, id AS dst FROM {CUSTOMERS}, (VALUES ('knows'), ('near')) v(p)")
+def reflexive(spark, sf_dir):
+    return closure.reflexive_edges(star_graph(spark, sf_dir, ["customer"], literals=["balance"]).nodes, ["knows", "near"])
+
+
+@query("inverse", f"SELECT 'placedBy' AS p, src, dst FROM {PLACED} UNION SELECT 'customerOrder', dst, src FROM {PLACED}")
+def inverse(spark, sf_dir):
+    return closure.inverse_edges(_customers_orders(spark, sf_dir).edges, _table(spark, [("placedBy", "customerOrder")], "p", "q"))
+
+
+@query("chain", f"SELECT 'orderNation' AS p, {_id('order', 'o_orderkey')} AS src, {_id('nation', 'c_nationkey')} AS dst FROM orders JOIN customer ON o_custkey = c_custkey")
+def chain(spark, sf_dir):
+    g = star_graph(spark, sf_dir, ["customer", "orders", "nation"])
+    return closure.role_closure(g.edges, chains=[(("placedBy", "custNation"), "orderNation")]).where("p = 'orderNation'")
+
+
+@query("transitive_role_closure", f"""WITH RECURSIVE base AS (SELECT src, dst FROM {_NATION_EDGES}), t(src, dst) AS (SELECT src, dst FROM base UNION SELECT t.src, b.dst FROM t JOIN base b ON t.dst = b.src)
+SELECT 'locatedIn' AS p, src, dst FROM t UNION ALL SELECT p, src, dst FROM {_NATION_EDGES}""")
+def transitive_role_closure(spark, sf_dir):
+    g = star_graph(spark, sf_dir, ["customer", "supplier", "nation", "region"])
+    return closure.role_closure(g.edges, supers=[(p, "locatedIn") for p in ("custNation", "suppNation", "nationRegion")], transitive=["locatedIn"])
+
+
+# Equality: documents with equal texts are one; so are neighbours of a chain by id modulo 50.
+
+_DOC = _id("document", "doc_id")
+
+
+def _doc_edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    node = (F.lit(KINDS["document"] * 10**12) + F.col("doc_id")).alias("src")
+    text = docs.select(F.lit("text").alias("p"), node, F.sha2("text", 256).alias("dst"))
+    types = docs.select(node.alias("id"), F.lit("Document").alias("cls"))
+    return types, text
+
+
+@query("haskey_groups", f"SELECT min({_DOC}) OVER (PARTITION BY text) AS canonical, {_DOC} AS member FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
+def haskey_groups(spark, sf_dir):
+    """Documents have their text as key."""
+    return closure.components(closure.key_pairs(*_doc_edges(spark, sf_dir), "Document", ["text"]))
+
+
+@query("sameas_components", f"SELECT min(id) OVER (PARTITION BY k // 50) AS canonical, id AS member FROM (SELECT {_id('customer', 'c_custkey')} AS id, c_custkey AS k FROM customer) QUALIFY count(*) OVER (PARTITION BY k // 50) > 1")
+def sameas_components(spark, sf_dir):
+    """Chains of 50 customers, each said to be the same as the next."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    node = lambda c: F.lit(KINDS["customer"] * 10**12) + c
+    last = F.col("c_custkey") % 50 == 49
+    pairs = k.where(~last).select(node(F.col("c_custkey")).alias("a"), node(F.col("c_custkey") + 1).alias("b")).join(k.select(node(F.col("c_custkey")).alias("b")), "b", "left_semi")
+    return closure.components(pairs)
+
+
+_GROUPS = f"(SELECT min({_DOC}) OVER (PARTITION BY text) AS canonical, {_DOC} AS member, lang FROM documents)"
+
+
+@query("sameas_expand", f"SELECT DISTINCT m.member AS id, o.lang AS cls FROM {_GROUPS} m JOIN {_GROUPS} o ON m.canonical = o.canonical WHERE o.lang IS NOT NULL UNION SELECT member, 'Document' FROM {_GROUPS}")
+def sameas_expand(spark, sf_dir):
+    """Every document gets the classes of all that are the same."""
+    g = star_graph(spark, sf_dir, ["documents"])
+    return closure.expand_equal(g.types, g.edges, haskey_groups(spark, sf_dir))[0]
+
+
+@query("sameas_canonical", f"SELECT DISTINCT canonical AS id, lang AS cls, 1.0::DOUBLE AS w FROM {_GROUPS} WHERE lang IS NOT NULL UNION SELECT canonical, 'Document', 1.0::DOUBLE FROM {_GROUPS}")
+def sameas_canonical(spark, sf_dir):
+    return closure.canonicalize(star_graph(spark, sf_dir, ["documents"]), haskey_groups(spark, sf_dir)).types
+
+
+# Negative evidence
+
+
+@query("negative_closure_complement", f"""SELECT DISTINCT id, cls, sign FROM (
+SELECT id, cls, 1 AS sign FROM {_ORDER_TYPES} UNION ALL SELECT id, 'Open', -1 FROM {ORDERS} WHERE o_orderstatus = 'F'
+UNION ALL SELECT id, 'F', -1 FROM {ORDERS} WHERE o_orderstatus = 'O' UNION ALL SELECT id, 'O', -1 FROM {ORDERS} WHERE o_orderstatus = 'F'
+UNION ALL SELECT id, 'Closed', 1 FROM {ORDERS} WHERE o_orderstatus = 'F')""")
+def negative_closure_complement(spark, sf_dir):
+    """F and O are disjoint, F and Open as well, and Open is what isn't Closed."""
+    g = _customers_orders(spark, sf_dir)
+    none = g.types.select("id", "cls").limit(0)
+    return negative.negative_types(g.types, _table(spark, [("F", "O"), ("F", "Open")], "a", "b"), _table(spark, [("Open", "Closed")], "a", "b"), none)
+
+
+def _status(spark, sf_dir) -> DataFrame:
+    """Pressing customers: derived from an urgent order, asserted for BUILDING, blocked for MACHINERY."""
+    g = _customers_orders(spark, sf_dir)
+    d = Dag()
+    d.root("Pressing", d.exists("placedBy", d.atomic("1-URGENT"), BACKWARD))
+    derived = Reasoner(g).add_all(d).members().select("id", F.col("concept").alias("cls"))
+    asserted = g.types.where("cls = 'BUILDING'").select("id", F.lit("Pressing").alias("cls"))
+    pairs = _table(spark, [("MACHINERY", "Pressing"), ("FURNITURE", "Calm")], "a", "b")
+    none = g.types.select("id", "cls").limit(0)
+    signed = negative.negative_types(g.types.where("cls IN ('MACHINERY', 'FURNITURE')"), pairs, pairs.limit(0), none)
+    blockers = negative.blocked_by_class(signed, _table(spark, [("Pressing", "Pressing")], "cls", "needs"))
+    return negative.assignment_status(asserted, derived, blockers)
+
+
+_STATUS = f"""(SELECT id, 'Pressing' AS cls, asserted, derived, blocked, blocked AND (asserted OR derived) AS conflicted, CASE WHEN blocked THEN ['not:Pressing'] ELSE []::VARCHAR[] END AS blockers FROM (
+SELECT c.id, c_mktsegment = 'BUILDING' AS asserted, coalesce(u, false) AS derived, c_mktsegment = 'MACHINERY' AS blocked FROM {CUSTOMERS} c
+LEFT JOIN (SELECT dst AS id, bool_or(o_orderpriority = '1-URGENT') AS u FROM {PLACED} GROUP BY 1) f USING (id)) WHERE asserted OR derived OR blocked)"""
+
+
+@query("assignment_status", f"SELECT * FROM {_STATUS}")
+def assignment_status(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@query("policy_report", f"SELECT id, cls FROM {_STATUS} WHERE asserted OR derived")
+def policy_report(spark, sf_dir):
+    return negative.emit(_status(spark, sf_dir), "report_only")
+
+
+@query("policy_suppress", f"SELECT id, cls FROM {_STATUS} WHERE asserted OR derived AND NOT blocked")
+def policy_suppress(spark, sf_dir):
+    return negative.emit(_status(spark, sf_dir))
+
+
+@query("differentfrom_blockers", f"SELECT DISTINCT id, 'First' AS cls, 'different:{KINDS['customer']}000000000001' AS blocker FROM {CUSTOMERS} WHERE c_mktsegment = 'BUILDING' AND c_custkey <> 1")
+def differentfrom_blockers(spark, sf_dir):
+    """Customers of BUILDING are all different from customer 1."""
+    one = KINDS["customer"] * 10**12 + 1
+    different = star_graph(spark, sf_dir, ["customer"]).types.where(f"cls = 'BUILDING' AND id <> {one}").select(F.col("id").alias("a"), F.lit(one).alias("b"))
+    return negative.blocked_by_nominal(_table(spark, [("First", one)], "cls", "node"), different).where(f"id <> {one}")
+
+
+@query("functional_blockers", f"SELECT DISTINCT {_id('customer', 'c_custkey')} AS id, 'OfNation3' AS cls, 'value:custNation' AS blocker FROM customer WHERE c_nationkey <> 3")
+def functional_blockers(spark, sf_dir):
+    g = star_graph(spark, sf_dir, ["customer", "nation"])
+    return negative.blocked_by_value(_table(spark, [("OfNation3", "custNation", KINDS["nation"] * 10**12 + 3)], "cls", "p", "value"), g.edges)
+
+
+@query("negprop_blockers", f"SELECT DISTINCT {_id('customer', 'c_custkey')} AS id, 'OfNation3' AS cls, 'denied:custNation' AS blocker FROM customer WHERE c_nationkey = 3 AND c_custkey % 2 = 0")
+def negprop_blockers(spark, sf_dir):
+    """Every second customer is said not to be of its nation."""
+    g = star_graph(spark, sf_dir, ["customer", "nation"])
+    denied = g.edges.where("p = 'custNation' AND src % 2 = 0")
+    return negative.blocked_by_assertion(_table(spark, [("OfNation3", "custNation", KINDS["nation"] * 10**12 + 3)], "cls", "p", "value"), denied)
