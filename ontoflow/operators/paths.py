@@ -11,7 +11,9 @@ from ..sources.graph import Graph
 def exact_paths(graph: Graph, steps: list[tuple[str, str]]) -> DataFrame:
     """id of the nodes from which a walk over all steps exists, each hop's end in the step's class.
 
-    Taken from the last step backwards, so that only distinct nodes, never walks, are carried.
+    Taken from the last step backwards, so that only distinct nodes, never walks, are carried. Both
+    sides are distinct, so inner joins do; semi-joins would be pushed into every member of the types'
+    union, and the plan would double at each step.
     """
     if not steps:
         raise ValueError("a path needs a step")
@@ -19,8 +21,8 @@ def exact_paths(graph: Graph, steps: list[tuple[str, str]]) -> DataFrame:
     for prop, cls in reversed(steps):
         ends = graph.types.where((F.col("cls") == cls) & (F.col("w") > 0)).select(F.col("id").alias("n")).distinct()
         if able is not None:
-            ends = ends.join(able, "n", "left_semi")
-        able = graph.edge(prop).join(ends, "n", "left_semi").select(F.col("r").alias("n")).distinct()
+            ends = ends.join(able, "n")
+        able = graph.edge(prop).join(ends, "n").select(F.col("r").alias("n")).distinct()
     return able.select(F.col("n").alias("id"))
 
 
