@@ -118,23 +118,23 @@ def feature_rows(units: list[str]):
 def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 256, c: float = 4.0) -> tuple[np.ndarray, float]:
     """The weight of every hashed subsequence and the bias, from units of both kinds, most telling first."""
     chosen = positive[: landmarks // 2] + negative[: landmarks - min(len(positive), landmarks // 2)]
-    phi = np.zeros((len(chosen), 1 << _HASH_BITS), np.float32)
+    # Only subsequences of landmarks count: columns are those, so that the matrices stay small.
     r, h, v = feature_rows(chosen)
-    np.add.at(phi, (r, h), v)
-    gram = (phi @ phi.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(gram)
+    used, at = np.unique(h, return_inverse=True)
+    phi = np.zeros((len(chosen), len(used)), np.float32)
+    np.add.at(phi, (r, at), v)
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     units = positive + negative
     parts = []
-    for a in range(0, len(units), 2000):
-        r, h, v = feature_rows(units[a : a + 2000])
-        kernel = np.zeros((len(units[a : a + 2000]), len(chosen)))
-        used, at = np.unique(h, return_inverse=True)
-        dense = np.zeros((kernel.shape[0], len(used)), np.float32)
-        np.add.at(dense, (r, at), v)
-        kernel[:] = dense @ phi[:, used].T
-        parts.append(kernel @ whiten)
+    for a in range(0, len(units), 500):
+        r, h, v = feature_rows(units[a : a + 500])
+        at = np.minimum(np.searchsorted(used, h), len(used) - 1)
+        known = used[at] == h
+        dense = np.zeros((len(units[a : a + 500]), len(used)), np.float32)
+        np.add.at(dense, (r[known], at[known]), v[known])
+        parts.append((dense @ phi.T).astype(np.float64) @ whiten)
     x = np.hstack([np.concatenate(parts), np.ones((len(units), 1))])
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     cost = c * np.where(y > 0, len(y) / (2 * max(1, len(positive))), len(y) / (2 * max(1, len(negative))))
@@ -148,7 +148,9 @@ def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 256, c
         if np.allclose(new, theta, atol=1e-9):
             break
         theta = new
-    return ((whiten @ theta[:-1]) @ phi).astype(np.float32), float(theta[-1])
+    weights = np.zeros(1 << _HASH_BITS, np.float32)
+    weights[used] = (whiten @ theta[:-1]) @ phi
+    return weights, float(theta[-1])
 
 
 class Model:
