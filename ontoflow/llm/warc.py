@@ -14,9 +14,11 @@ piece; the pieces of the others, and only those, are read a second time and put
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MAGIC = "WARC/1.1\r\n"
 _BLANK = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "
@@ -41,6 +43,8 @@ def records_of(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("_sha1", F.sha1("payload"))
     first = rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("_sha1").agg(F.max("page_id").alias("_of"), F.count("*").alias("_n")).where("_n > 1 AND _of IS NOT NULL").select("_sha1", "_of")
+    # Written first: while it is small, the planner then sees its size and doesn't exchange the payloads.
+    first = materialize(first, "warc-repeated")
     again = F.col("_of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_of"))
     return rows.join(first, "_sha1", "left").select("page_id", "url", "payload", "payload_bytes", base32_sha1(F.col("payload")).alias("payload_digest"), F.when(again, F.col("_of")).alias("refers_to"), again.alias("is_revisit"))
 
@@ -162,10 +166,6 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     tells. A file that doesn't begin with the magic line has no records, and a chain ends where a
     header has no length or the successor isn't a candidate. Empty folders and files give no rows.
     """
-    from pyspark.sql import Window
-
-    from .common import materialize
-
     found = materialize(_parsed(_pieces(spark, folder)), "warc-candidates")
     ranges = found.select("path", "block", "piece", "n", "total").repartition("path", "block").sortWithinPartitions("path", "block", "piece")
     led = materialize(ranges.mapInPandas(_lead_out, "path string, block long, piece long, place long, after long, leaves long, span long"), "warc-chains")
