@@ -484,3 +484,122 @@ def negprop_blockers(spark, sf_dir):
     g = star_graph(spark, sf_dir, ["customer", "nation"])
     denied = g.edges.where("p = 'custNation' AND src % 2 = 0")
     return negative.blocked_by_assertion(_table(spark, [("OfNation3", "custNation", KINDS["nation"] * 10**12 + 3)], "cls", "p", "value"), denied)
+
+
+# Rules and modes, over a small schema of the star schema's graph
+
+from .operators import explain as explaining  # noqa: E402
+from .operators import modes  # noqa: E402
+from .plans.schema import THING, Expr, Schema, named  # noqa: E402
+from .sources.rdf import Facts  # noqa: E402
+
+
+def _schema() -> Schema:
+    """Urgent customers by their orders, their nations by them, regions by those; and what excludes what."""
+    s = Schema()
+    some = lambda p, e, d="forward": Expr("some", (e,), prop=p, direction=d)
+    s.equivalent += [
+        (named("Urgent"), Expr("and", (named("Customer"), some("placedBy", named("1-URGENT"), BACKWARD)))),
+        (named("BusyNation"), Expr("and", (named("Nation"), some("custNation", Expr("and", (named("Urgent"), named("BUILDING"))), BACKWARD)))),
+        (named("BusyRegion"), Expr("and", (named("Region"), some("nationRegion", named("BusyNation"), BACKWARD)))),
+    ]
+    s.sub += [(named("Urgent"), named("Watched")), (named("Steady"), Expr("and", (named("Customer"), Expr("only", (named("O"),), prop="placedBy", direction=BACKWARD))))]
+    s.disjoint.append(("MACHINERY", "Urgent"))
+    s.classes |= {"Urgent", "BusyNation", "BusyRegion", "Watched", "Steady"}
+    return s
+
+
+def _prepared(spark, sf_dir) -> modes.Prepared:
+    g = star_graph(spark, sf_dir, _GEO)
+    pairs = g.types.limit(0)
+    none = pairs.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    facts = Facts(g, none, none, g.edges.limit(0), pairs.select("id", "cls"))
+    return modes.prepare(facts, _schema(), modes.Profile(same_as=False, has_key=False))
+
+
+_URGENT = f"(SELECT c.id, c.c_mktsegment, c.c_nationkey FROM {CUSTOMERS} c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT'))"
+_BUSY = f"(SELECT DISTINCT n_nationkey, n_regionkey FROM nation JOIN {_URGENT} u ON u.c_nationkey = n_nationkey WHERE u.c_mktsegment = 'BUILDING')"
+_FIX = f"""SELECT id, 'Urgent' AS cls FROM {_URGENT} UNION ALL SELECT id, 'Watched' FROM {_URGENT}
+UNION ALL SELECT {_id('nation', 'n_nationkey')}, 'BusyNation' FROM {_BUSY} UNION ALL SELECT DISTINCT {_id('region', 'n_regionkey')}, 'BusyRegion' FROM {_BUSY}"""
+
+
+@query("sufficient_fixpoint_acyclic", _FIX)
+def sufficient_fixpoint_acyclic(spark, sf_dir):
+    """Three levels of rules, a pass each."""
+    return modes.materialize_positive(_prepared(spark, sf_dir))[1]
+
+
+@query("sufficient_fixpoint_scc", f"""WITH RECURSIVE t(id, cls) AS (
+SELECT id, 'Even' FROM {_TURNS} WHERE turn = 0 UNION
+SELECT n.id, CASE t.cls WHEN 'Even' THEN 'Odd' ELSE 'Even' END FROM t JOIN {_TURNS} a ON a.id = t.id JOIN {_TURNS} n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1)
+SELECT id, cls FROM t UNION SELECT id, 'First' FROM {_TURNS} WHERE turn = 0""")
+def sufficient_fixpoint_scc(spark, sf_dir):
+    """Even and odd turns define each other from the first turn on."""
+    s = Schema()
+    back = lambda e: Expr("some", (named(e),), prop="nextTurn", direction=BACKWARD)
+    s.sub += [(named("First"), named("Even")), (back("Even"), named("Odd")), (back("Odd"), named("Even"))]
+    g = star_graph(spark, sf_dir, ["conversations"])
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    first = turns.select((F.lit(KINDS["turn"] * 10**12) + F.col("conv_id") * 1000).alias("id"), F.lit("First").alias("cls"))
+    none = g.types.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    facts = Facts(g.with_types(first), none, none, g.edges.limit(0), g.types.limit(0).select("id", "cls"))
+    prepared = modes.prepare(facts, s, modes.Profile(same_as=False, has_key=False, hierarchy=False))
+    added = modes.materialize_positive(prepared)[1]
+    return added.union(first.select("id", "cls"))
+
+
+@query("stratified", f"SELECT id, cls FROM ({_FIX}) WHERE NOT (cls = 'Urgent' AND id IN (SELECT id FROM {CUSTOMERS} WHERE c_mktsegment = 'MACHINERY')) AND cls <> 'Watched'")
+def stratified(spark, sf_dir):
+    """Rules to the fixpoint; urgent customers of MACHINERY are blocked."""
+    return modes.stratified(_prepared(spark, sf_dir), ["Urgent", "BusyNation", "BusyRegion"])
+
+
+_STEADY = f"SELECT id, 'Steady' AS cls FROM {CUSTOMERS} c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus <> 'O')"
+
+
+@query("admissibility", f"{_STEADY} UNION ALL SELECT id, 'Urgent' FROM {_URGENT} WHERE c_mktsegment <> 'MACHINERY' UNION ALL SELECT {_id('nation', 'n_nationkey')}, 'BusyNation' FROM {_BUSY}")
+def admissibility(spark, sf_dir):
+    return modes.admissibility(_prepared(spark, sf_dir), ["Steady", "Urgent", "BusyNation"])
+
+
+@query("filtered_admissibility", f"{_STEADY} UNION ALL SELECT id, 'Urgent' FROM {_URGENT} WHERE c_mktsegment <> 'MACHINERY' UNION ALL SELECT {_id('nation', 'n_nationkey')}, 'BusyNation' FROM {_BUSY}")
+def filtered_admissibility(spark, sf_dir):
+    return modes.filtered_admissibility(_prepared(spark, sf_dir), ["Steady", "Urgent", "BusyNation"])
+
+
+@query("alignment_fuzzy", f"""SELECT n.id, 'Urgent' AS cls, ((((n.kind = 'c')::INT::DOUBLE + coalesce(f.s, 0)::DOUBLE) / 2.0::DOUBLE) + ((1 - (n.seg = 'MACHINERY')::INT)::DOUBLE + 1) / 2.0::DOUBLE) / 3.0::DOUBLE AS score
+FROM (SELECT id, 'c' AS kind, c_mktsegment AS seg FROM {CUSTOMERS} UNION ALL SELECT id, 'o', '' FROM {ORDERS} UNION ALL SELECT {_id('nation', 'n_nationkey')}, 'n', '' FROM nation UNION ALL SELECT {_id('region', 'r_regionkey')}, 'r', '' FROM region) n
+LEFT JOIN (SELECT dst AS id, max((o_orderpriority = '1-URGENT')::INT) AS s FROM {PLACED} GROUP BY 1) f USING (id)""")
+def alignment_fuzzy(spark, sf_dir):
+    """Conditions by means; exclusion from a class by agreement with its absence."""
+    return modes.alignment(_prepared(spark, sf_dir), ["Urgent"])
+
+
+@query("definitional_fixpoint", f"SELECT id, cls FROM ({_FIX}) WHERE cls IN ('BusyNation', 'BusyRegion')")
+def definitional_fixpoint(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
+    from dataclasses import replace
+
+    graph = modes.materialize_positive(prepared, ["Urgent"])[0]
+    return modes.materialize_definitions(replace(prepared, facts=replace(prepared.facts, graph=graph)), ["BusyNation", "BusyRegion"])[1]
+
+
+@query("explain_witness", f"SELECT id, witness, score FROM (SELECT dst AS id, src AS witness, {_MEAN} AS score, row_number() OVER (PARTITION BY dst ORDER BY {_MEAN} DESC, src) AS k FROM {PLACED}) WHERE k = 1")
+def explain_witness(spark, sf_dir):
+    """Of each customer, the order that decides its best score."""
+    g = _customers_orders(spark, sf_dir)
+    d = Dag()
+    return explaining.best_witness(g, "placedBy", BACKWARD, scores(g, d, {"score": _mean(d)}))
+
+
+@query("bgp_triples", f"SELECT DISTINCT {_id('order', 'o_orderkey')}::VARCHAR AS o, n_nationkey::BIGINT + {KINDS['nation']}000000000000 || '' AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'")
+def bgp_triples(spark, sf_dir):
+    """Urgent orders and their customers' nations, as a pattern over triples."""
+    from .operators.bgp import match
+    from .sources.rdf import TYPE, graph_triples
+
+    t = graph_triples(star_graph(spark, sf_dir, ["customer", "orders", "nation"]))
+    return match(t, [("?o", TYPE, "1-URGENT"), ("?o", "placedBy", "?c"), ("?c", "custNation", "?n")], ["o", "n"])
+
+
+__all__ = ["THING", "oracle_sql", "queries"]
