@@ -68,7 +68,7 @@ class ChunkTokenizer:
     never remembered.
     """
 
-    def __init__(self, path: str, limit: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -150,10 +150,28 @@ class ChunkTokenizer:
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
+#: What workers keep between tasks, by who uses it; workers are used again by other operators.
+_KEPT: dict[str, list] = {}
+
+
+def claim(owner: str, *kept) -> None:
+    """Called where a task begins: empties what other operators keep in this worker."""
+    others = [x for o, held in _KEPT.items() if o != owner for x in held]
+    if any(others):
+        import ctypes
+
+        for x in others:
+            x.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library keeps what it was given back
+    _KEPT[owner] = list(kept)
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
     """The worker's tokenizer for a vocabulary file."""
+    claim("tokenizer", _TOKENIZERS)
     if path not in _TOKENIZERS:
         import os
 
@@ -169,11 +187,12 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def map_texts(documents: DataFrame, keep: list[str], fields: list[tuple[str, str]], make, text: str = "text") -> DataFrame:
+def map_texts(documents: DataFrame, keep: list[str], fields: list[tuple[str, str]], make, text: str = "text", owner: str = "", kept: tuple = ()) -> DataFrame:
     """The columns ``keep`` and one for each of ``fields`` (name, type), computed from whole texts.
 
     ``make()`` is called once in each task and returns a function from a list of texts to one list of
-    values per field. Texts are handed over 256 at a time.
+    values per field. Texts are handed over 256 at a time. ``kept`` are the containers that ``owner``
+    keeps between tasks.
     """
     import pyspark.sql.types as T
 
@@ -184,6 +203,7 @@ def map_texts(documents: DataFrame, keep: list[str], fields: list[tuple[str, str
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
+        claim(owner, *kept)
         compute = make()
         kinds = [to_arrow_type(f.dataType) for f in added.fields]
         for whole in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words
+from .common import claim, words
 from .fm_index import FMIndex
 
 
@@ -138,6 +138,7 @@ def _pass(spark, documents, keep, items, window, result):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
+        claim("decontamination")
         phrases = Phrases(shared.value, window)
         kind = to_arrow_type(_FOUND)
         for batch in batches:

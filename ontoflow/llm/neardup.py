@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, words
+from .common import claim, map_texts, materialize, words
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def shingles(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
     own = words(text)
     if not own:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(_HASHES) > 500_000:
+    if len(_HASHES) > 300_000:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, own), np.int64, len(own)).astype(np.uint64)
     width = min(size, len(h))
@@ -102,6 +102,7 @@ def count_frequencies(documents: DataFrame, settings: Settings) -> Frequencies:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        claim("neardup", _HASHES)
         own, n = np.zeros(cells, np.int64), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -199,7 +200,7 @@ def _signatures(documents: DataFrame, shared, settings: Settings) -> DataFrame:
         return compute
 
     rows = documents.where("text IS NOT NULL").withColumn("_key", F.md5("text"))
-    return map_texts(rows, ["_key"], [("buckets", "array<bigint>"), ("samples", "array<int>")], make).where("buckets IS NOT NULL").dropDuplicates(["_key"])
+    return map_texts(rows, ["_key"], [("buckets", "array<bigint>"), ("samples", "array<int>")], make, owner="neardup", kept=(_HASHES,)).where("buckets IS NOT NULL").dropDuplicates(["_key"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared, settings: Settings) -> DataFrame:
@@ -208,6 +209,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, settings: Settings) ->
     def compare(batches):
         import pyarrow as pa
 
+        claim("neardup", _HASHES)
         frequencies = shared.value
         held: dict[str, tuple] = {}
 

@@ -159,7 +159,7 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, logistic: list[float]):
         self.weights, self.bias, self.logistic = weights, bias, logistic
 
-    def scorer(self, limit: int = 500_000, longest: int = 48):
+    def scorer(self, limit: int = 300_000, longest: int = 48):
         """A function from texts to (largest unit score, units above 0, units); -inf without units."""
         known: dict[str, float] = {"": -math.inf}
 
