@@ -68,7 +68,7 @@ class ChunkTokenizer:
     never remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 700_000, longest: int = 48):
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -158,17 +158,32 @@ def claim(owner: str, *kept) -> None:
     """Called where a task begins: empties what other operators keep in this worker."""
     others = [x for o, held in _KEPT.items() if o != owner for x in held]
     if any(others):
-        import ctypes
-
         for x in others:
             x.clear()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library keeps what it was given back
+        give_back()
     _KEPT[owner] = list(kept)
 
 
+def give_back() -> None:
+    """Returns freed memory of the worker to the system; called where a task ends."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: unless another number is set, Arrow batches get fewer than by default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def tokenizer(path: str) -> ChunkTokenizer:
     """The worker's tokenizer for a vocabulary file."""
     claim("tokenizer", _TOKENIZERS)
@@ -196,8 +211,10 @@ def map_texts(documents: DataFrame, keep: list[str], fields: list[tuple[str, str
     """
     import pyspark.sql.types as T
 
+    text_batches(documents.sparkSession)
     added = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields])
     schema = T.StructType([*documents.select(*keep).schema.fields, *added.fields])
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         import pyarrow as pa
@@ -209,7 +226,9 @@ def map_texts(documents: DataFrame, keep: list[str], fields: list[tuple[str, str
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                values = compute(batch.column(batch.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, k) for v, k in zip(values, kinds))], names=schema.names)
+                values = compute(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(v, k) for v, k in zip(values, kinds))], names=schema.names)
+        give_back()
 
-    return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, schema)
+    read = documents.select(*keep) if text in keep else documents.select(*keep, documents[text].alias("_text"))
+    return read.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, words
+from .common import claim, give_back, text_batches, words
 from .fm_index import FMIndex
 
 
@@ -131,7 +131,9 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, *, keep: Iterable[
 
 def _pass(spark, documents, keep, items, window, result):
     shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in items])
-    chosen = documents.select(*keep, F.col("text").alias("_searched"))
+    text_batches(spark)
+    at = keep.index("text") if "text" in keep else len(keep)
+    chosen = documents.select(*keep) if "text" in keep else documents.select(*keep, F.col("text").alias("_searched"))
     schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField(result, _FOUND)])
 
     def search(batches):
@@ -142,10 +144,11 @@ def _pass(spark, documents, keep, items, window, result):
         phrases = Phrases(shared.value, window)
         kind = to_arrow_type(_FOUND)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             found = search_shard((x.as_py() for x in texts), phrases)
             column = pa.array([{"n_words": n, "n_hit": h, "items": i, "spans": [{"start": a, "end": b} for a, b in s]} for n, h, i, s in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], names=schema.names)
+        give_back()
 
     return chosen.mapInArrow(search, schema)
 

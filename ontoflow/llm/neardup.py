@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, map_texts, materialize, words
+from .common import claim, give_back, map_texts, materialize, text_batches, words
 
 
 @dataclass(frozen=True)
@@ -121,6 +121,7 @@ def count_frequencies(documents: DataFrame, settings: Settings) -> Frequencies:
                 sums[key] = sums[key] + x if key in sums else x
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "spread": pa.array([0] * len(sums), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
 
+    text_batches(documents.sparkSession)
     kind = "part int, spread int, counts binary"
     rows = documents.select("text").mapInArrow(count, kind).repartition("part", "spread").mapInArrow(add, kind).repartition("part").mapInArrow(add, kind).collect()
     total, n = np.zeros((cells // part, part), np.int64), 0
@@ -226,6 +227,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, settings: Settings) ->
                 a, b, s, t = (whole.column(c).slice(k, 256).to_pylist() for c in range(4))
                 good = [similarity(weighted(x, u), weighted(y, v)) >= settings.threshold for x, y, u, v in zip(a, b, s, t)]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(good, pa.bool_())], names=["a", "b", "similar"])
+        give_back()
 
     first, second = (texts.select(F.col("_key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string, similar boolean")

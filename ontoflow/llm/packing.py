@@ -177,6 +177,8 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
     """
     import struct
 
+    from .common import text_batches
+
     end = struct.pack("<I", end_id)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
 
@@ -184,7 +186,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .common import tokenizer
+        from .common import give_back, tokenizer
 
         stops = [int.from_bytes(x, "little") for x in tokenizer(vocabulary).ids([".", "!", "?"]) if len(x) == 4]
         base = TaskContext.get().partitionId() << 36
@@ -209,7 +211,9 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
         rows += packer.finish()
         if rows:
             yield out(rows)
+        give_back()
 
+    text_batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(pack, kind)
 
 

@@ -104,6 +104,9 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str, *, end_id:
     holds one block of ``block_ids`` ids (or one longer document); it writes under a name of its own
     attempt and then renames, so that a repeated task replaces its shard.
     """
+    from .common import text_batches
+
+    text_batches(documents.sparkSession)
     by_id = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     end = struct.pack("<I", end_id)
 
@@ -113,7 +116,7 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str, *, end_id:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .common import tokenizer
+        from .common import give_back, tokenizer
 
         shard = TaskContext.get().partitionId()
         files, root = _filesystem(folder)
@@ -139,6 +142,7 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str, *, end_id:
             if doc_ids:
                 out.write(encode_block(doc_ids, ids))
         files.move(temp, path)
+        give_back()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.otk"], "docs": [docs], "n_tokens": [tokens + pending]})
 
     return by_id.mapInArrow(write, "shard long, path string, docs long, n_tokens long")

@@ -23,13 +23,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import give_back, map_texts, text_batches
 from .language import held_out
 
 _PAD = 5
@@ -159,7 +160,7 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, logistic: list[float]):
         self.weights, self.bias, self.logistic = weights, bias, logistic
 
-    def scorer(self, limit: int = 300_000, longest: int = 48):
+    def scorer(self, limit: int = 500_000, longest: int = 48):
         """A function from texts to (largest unit score, units above 0, units); -inf without units."""
         known: dict[str, float] = {"": -math.inf}
 
@@ -169,9 +170,9 @@ class Model:
             new: set[str] = set()
             for chunks in split:
                 new.update(set(chunks).difference(known))
-            if len(known) + len(new) > limit:
-                known = {"": -math.inf}
-                new = {c for chunks in split for c in chunks}
+            if len(known) + len(new) > limit:  # the first third, frequent words among it, stays
+                known = dict(islice(known.items(), limit // 3))
+                new = {c for chunks in split for c in chunks if c not in known}
             if new:
                 fresh = list(new)
                 units = [unit(c) for c in fresh]
@@ -221,6 +222,7 @@ def fit_model(labelled: DataFrame, *, most_documents: int = 12_000, most_units:
     text or label teach nothing. Without toxic documents every score is near 0.
     """
     known = labelled.where("text IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL")
+    text_batches(labelled.sparkSession)
     total, bad = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not total or not bad:
         return Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, [0.0, 0.0, 0.0, -20.0])
@@ -244,7 +246,9 @@ def fit_model(labelled: DataFrame, *, most_documents: int = 12_000, most_units:
                     x[0] += 1
                     x[1] += toxic
             if seen:
-                yield pd.DataFrame({"is_part": [k[0] for k in seen], "token": [k[1] for k in seen], "n": [x[0] for x in seen.values()], "t": [x[1] for x in seen.values()]})
+                own, seen = seen, None
+                yield pd.DataFrame({"is_part": [k[0] for k in own], "token": [k[1] for k in own], "n": [x[0] for x in own.values()], "t": [x[1] for x in own.values()]})
+        give_back()
 
     counts = known.mapInPandas(count, "is_part boolean, token string, n long, t long").groupBy("is_part", "token").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     z = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
