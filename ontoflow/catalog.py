@@ -427,7 +427,7 @@ def negative_closure_complement(spark, sf_dir):
     """F and O are disjoint, F and Open as well, and Open is what isn't Closed."""
     g = _customers_orders(spark, sf_dir)
     none = g.types.select("id", "cls").limit(0)
-    return negative.negative_types(g.types, _table(spark, [("F", "O"), ("F", "Open")], "a", "b"), _table(spark, [("Open", "Closed")], "a", "b"), none)
+    return negative.negative_types(g.types, [("F", "O"), ("F", "Open")], [("Open", "Closed")], none)
 
 
 def _status(spark, sf_dir) -> DataFrame:
@@ -437,9 +437,9 @@ def _status(spark, sf_dir) -> DataFrame:
     d.root("Pressing", d.exists("placedBy", d.atomic("1-URGENT"), BACKWARD))
     derived = Reasoner(g).add_all(d).members().select("id", F.col("concept").alias("cls"))
     asserted = g.types.where("cls = 'BUILDING'").select("id", F.lit("Pressing").alias("cls"))
-    pairs = _table(spark, [("MACHINERY", "Pressing"), ("FURNITURE", "Calm")], "a", "b")
+    pairs = [("MACHINERY", "Pressing"), ("FURNITURE", "Calm")]
     none = g.types.select("id", "cls").limit(0)
-    signed = negative.negative_types(g.types.where("cls IN ('MACHINERY', 'FURNITURE')"), pairs, pairs.limit(0), none)
+    signed = negative.negative_types(g.types.where("cls IN ('MACHINERY', 'FURNITURE')"), pairs, [], none)
     blockers = negative.blocked_by_class(signed, _table(spark, [("Pressing", "Pressing")], "cls", "needs"))
     return negative.assignment_status(asserted, derived, blockers)
 

@@ -18,6 +18,10 @@ from .lower import scores
 from .reasoner import SATISFIED, expand_aliases
 
 
+#: Passes of acyclic rules that one plan holds before the memberships are written down.
+PASSES_IN_PLAN = 3
+
+
 @dataclass(frozen=True)
 class Profile:
     """Which passes run before and around the rules."""
@@ -104,7 +108,9 @@ def prepare(facts: Facts, schema: Schema, profile: Profile = PROFILES["full"]) -
     if profile.roles:
         edges = closure.role_closure(g.edges, supers=schema.sub_properties, inverses=schema.inverses, chains=schema.chains, transitive=sorted(schema.transitive))
         g = replace(g, edges=edges)
-    g = Graph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"), materialize(g.types, "types"), g.reflexive)
+    # What a pass has changed is written once; what is as the source has it is read from there.
+    first = facts.graph
+    g = Graph(*(materialize(own, name) if own is not was else own for own, was, name in ((g.nodes, first.nodes, "nodes"), (g.edges, first.edges, "edges"), (g.types, first.types, "types"))), g.reflexive)
     moved = facts
     if alias is not None:
         to = lambda df, c: df.join(alias.toDF("_to", c), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
@@ -123,8 +129,7 @@ def fixpoint(graph: Graph, roots: dict[str, int], compiler: Compiler, depends: d
     Classes are taken by strongly connected components, what they depend on first; components without
     a cycle need one pass, and those of one depth share it. Raises NotConverged after ``rounds``.
     """
-    spark = graph.nodes.sparkSession
-    added = materialize(graph.types.select("id", "cls").limit(0), "added")
+    start = graph.types.where(F.col("w") >= threshold).select("id", "cls")
     parts = strongly_connected({c: depends.get(c, set()) & roots.keys() for c in roots})
     level: dict[str, int] = {}
     groups: dict[tuple[int, bool], list[str]] = {}
@@ -133,23 +138,32 @@ def fixpoint(graph: Graph, roots: dict[str, int], compiler: Compiler, depends: d
         cyclic = len(part) > 1 or part[0] in depends.get(part[0], ())
         level.update(dict.fromkeys(part, own))
         groups.setdefault((own, cyclic), []).extend(part)
-    del spark
+    uncut = 0
     for (_, cyclic), classes in sorted(groups.items()):
+        columns = [f"r{k}" for k in range(len(classes))]
+        names = F.create_map(*(F.lit(x) for pair in zip(columns, classes) for x in pair))
+
+        def found(graph):
+            scored = scores(graph, compiler.dag, {r: roots[c] for r, c in zip(columns, classes)})  # noqa: B023
+            return scored.unpivot("id", columns, "_r", "score").where(F.col("score") >= threshold).select("id", names[F.col("_r")].alias("cls"))  # noqa: B023
+
+        if not cyclic:  # one pass, and part of the plan: it is written only after a few
+            graph, uncut = graph.with_types(found(graph)), uncut + 1
+            if uncut == PASSES_IN_PLAN:
+                graph, uncut = replace(graph, types=materialize(graph.types, "types")), 0
+            continue
+        graph, uncut = replace(graph, types=materialize(graph.types, "types")), 0
         for _ in range(rounds):
-            scored = scores(graph, compiler.dag, {f"r{k}": roots[c] for k, c in enumerate(classes)})
-            names = F.create_map(*(F.lit(x) for k, c in enumerate(classes) for x in (f"r{k}", c)))
-            found = scored.unpivot("id", [f"r{k}" for k in range(len(classes))], "_r", "score").where(F.col("score") >= threshold).select("id", names[F.col("_r")].alias("cls"))
             have = graph.types.where(F.col("w") >= threshold).select("id", "cls")
-            fresh = materialize(found.join(have, ["id", "cls"], "left_anti"), "fresh")
+            fresh = materialize(found(graph).join(have, ["id", "cls"], "left_anti"), "fresh")
             if fresh.isEmpty():
                 break
-            added = added.unionByName(fresh)
             graph = replace(graph, types=materialize(graph.with_types(fresh).types, "types"))
-            if not cyclic:
-                break
         else:
             raise NotConverged(f"{classes} after {rounds} rounds")
-    return graph, materialize(added.distinct(), "added")
+    if uncut:
+        graph = replace(graph, types=materialize(graph.types, "types"))
+    return graph, graph.types.where(F.col("w") >= threshold).select("id", "cls").join(start, ["id", "cls"], "left_anti")
 
 
 def materialize_positive(prepared: Prepared, targets: list[str] | None = None, **options) -> tuple[Graph, DataFrame]:
@@ -201,7 +215,7 @@ def blockers(prepared: Prepared, types: DataFrame, targets: list[str]) -> tuple[
     """(blockers (id, cls, blocker), signed types) of the targets."""
     schema, facts = prepared.schema, prepared.facts
     spark = types.sparkSession
-    signed = negative.negative_types(types, _table(spark, schema.negations(), "a", "b"), _table(spark, schema.complements(), "a", "b"), facts.denied_types)
+    signed = negative.negative_types(types, schema.negations(), schema.complements(), facts.denied_types)
     needs, nominals, functional, exact = [], [], [], []
     for c in targets:
         classes, individuals, values = requirements(schema, c)
@@ -233,6 +247,8 @@ def stratified(prepared: Prepared, targets: list[str], *, policy: str = "suppres
     for _ in range(16):
         graph, _ = materialize_positive(prepared, targets)
         blocked, signed = blockers(prepared, graph.types, targets)
+        if not prepared.schema.complements():
+            break  # nothing else makes a non-membership a membership
         fresh = signed.where("sign = 1").select("id", "cls").join(graph.types, ["id", "cls"], "left_anti")
         if fresh.isEmpty():
             break

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-from .closure import NotConverged
-
 POLICIES = ("report_only", "suppress_derived_keep_asserted", "strict_fail_on_conflict")
 
 
@@ -15,24 +12,48 @@ class Conflict(RuntimeError):
     """A membership is both derived or asserted and blocked, under the strict policy."""
 
 
-def negative_types(types: DataFrame, disjoint: DataFrame, complements: DataFrame, asserted: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, cls, sign) closed under disjoint (a, b) and complement (a, b) pairs, from both channels.
+def sign_rules(disjoint: list[tuple[str, str]], complements: list[tuple[str, str]]) -> list[tuple[str, int, str, int]]:
+    """(class, sign, class, sign) closed: which memberships and non-memberships follow from which.
 
     Members of a class are no members of what is disjoint from it; of complements, being no member of
     one is being a member of the other. There is no contraposition through superclasses.
     """
-    both = lambda pairs: pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rules = both(disjoint.unionByName(complements)).select(F.col("a").alias("cls"), F.lit(1).alias("sign"), F.col("b").alias("then"), F.lit(-1).alias("then_sign"))
-    rules = rules.unionByName(both(complements).select(F.col("a").alias("cls"), F.lit(-1).alias("sign"), F.col("b").alias("then"), F.lit(1).alias("then_sign"))).distinct()
-    known = materialize(types.select("id", "cls", F.lit(1).alias("sign")).unionByName(asserted.select("id", "cls", F.lit(-1).alias("sign"))).distinct(), "signed")
-    fresh = known
-    for _ in range(rounds):
-        found = fresh.join(rules, ["cls", "sign"]).select("id", F.col("then").alias("cls"), F.col("then_sign").alias("sign")).distinct()
-        fresh = materialize(found.join(known, ["id", "cls", "sign"], "left_anti"), "signed-fresh")
-        if fresh.isEmpty():
-            return known
-        known = materialize(known.unionByName(fresh), "signed")
-    raise NotConverged(f"negative closure after {rounds} rounds")
+    direct: dict[tuple[str, int], set[tuple[str, int]]] = {}
+    for x, y in [*disjoint, *complements]:
+        for a, b in ((x, y), (y, x)):
+            direct.setdefault((a, 1), set()).add((b, -1))
+    for x, y in complements:
+        for a, b in ((x, y), (y, x)):
+            direct.setdefault((a, -1), set()).add((b, 1))
+    out = []
+    for start in sorted(direct):
+        seen: set[tuple[str, int]] = set()
+        todo = [start]
+        while todo:
+            for x in direct.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        out += [(*start, *x) for x in sorted(seen)]
+    return out
+
+
+def negative_types(types: DataFrame, disjoint: list[tuple[str, str]], complements: list[tuple[str, str]], asserted: DataFrame) -> DataFrame:
+    """(id, cls, sign) closed under disjoint and complement pairs, from types and denied types (id, cls).
+
+    The rules are closed on the driver, over class names, so that one join makes all facts.
+    """
+    import pyarrow as pa
+
+    known = types.select("id", "cls", F.lit(1).alias("sign")).unionByName(asserted.select("id", "cls", F.lit(-1).alias("sign")))
+    rules = sign_rules(disjoint, complements)
+    if not rules:
+        return known.distinct()
+    names = ["cls", "sign", "then", "then_sign"]
+    kinds = [pa.string(), pa.int32()] * 2
+    table = types.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rules), kinds)], names=names))
+    found = known.join(table, ["cls", "sign"]).select("id", F.col("then").alias("cls"), F.col("then_sign").alias("sign"))
+    return known.unionByName(found).distinct()
 
 
 def blocked_by_class(signed: DataFrame, targets: DataFrame) -> DataFrame:
