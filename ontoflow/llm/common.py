@@ -1,13 +1,16 @@
-"""What several training-data operators share: shared storage, words and tokens."""
+"""What several training-data operators share: storage, words, tokens, and work on whole texts."""
 
 from __future__ import annotations
 
 import posixpath
 import uuid
+from collections import Counter
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialize, shared_root
+
 #: Bytes to words: A-Z lower-cased, every other ASCII byte that is not a digit or a-z becomes a space,
 #: and bytes of non-ASCII characters stay.
 _WORD_BYTES = bytes(
@@ -15,40 +18,16 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 
+__all__ = ["ChunkTokenizer", "claim", "give_back", "map_texts", "materialize", "read", "shared_dir", "text_batches", "tokenizer", "vocabulary_path", "words"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, as in tests, a folder of this machine is set for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if java_dir.isDefined():
-            root = java_dir.get()
-        else:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="ontoflow-")
-            spark.sparkContext.setCheckpointDir(root)
-    return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    Cuts the lineage, and unlike a local checkpoint it outlives the executors that made it.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    return posixpath.join(shared_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -81,6 +60,9 @@ class ChunkTokenizer:
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}
         self._limit, self._longest = limit, longest
+        self._frequent: dict[str, bytes] = {}
+        self._counts: Counter | None = Counter()
+        self._counted = 0
         self._known.update(zip((".", ","), self._encode([".", ","])))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -88,23 +70,42 @@ class ChunkTokenizer:
         out = []
         for a in range(0, len(texts), 64):
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[a : a + 64]]
-            get = self._known.get
-            found = [list(map(get, chunks)) for chunks in split]
-            lacking = [k for k, own in enumerate(found) if None in own]
-            new = {c for k in lacking for c, v in zip(split[k], found[k]) if v is None}
+            if self._counts is not None:
+                self._find_frequent(split)
+            frequent, get = self._frequent.get, self._known.get
+            found = [list(map(frequent, chunks)) for chunks in split]
+            lacking = [[k for k, v in enumerate(own) if v is None] for own in found]
+            new: set[str] = set()
+            for chunks, own, places in zip(split, found, lacking):
+                for k in places:
+                    if (v := get(chunks[k])) is None:
+                        new.add(chunks[k])
+                    else:
+                        own[k] = v
             if new:
                 if len(self._known) + len(new) > self._limit:
                     self._known = dict(islice(self._known.items(), self._limit // 3))
                 self._learn(new)
                 known = self._known
-                for k in lacking:
-                    found[k] = [known[c] if v is None else v for c, v in zip(split[k], found[k])]
+                for chunks, own, places in zip(split, found, lacking):
+                    for k in places:
+                        if own[k] is None:
+                            own[k] = known[chunks[k]]
                 for chunk in new:
                     if len(chunk) > self._longest:
                         del known[chunk]
             out += map(b"".join, found)
         return out
 
+    def _find_frequent(self, split: list[list[str]], texts: int = 3000, most: int = 20_000) -> None:
+        """Counts chunks in the first texts; the most frequent get a table that fits a processor's cache."""
+        for chunks in split:
+            self._counts.update(chunks)
+        self._counted += len(split)
+        if self._counted >= texts:
+            self._frequent = {c: self._known[c] for c, _ in self._counts.most_common(most) if c in self._known}
+            self._counts = None
+
     def _learn(self, new: set[str]) -> None:
         known, plain, other = self._known, {}, []
         for c in new:
