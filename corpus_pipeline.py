@@ -14,7 +14,7 @@ from ontoflow.llm import decontamination, language, neardup, packing, toxicity
 from ontoflow.llm.common import read, shared_dir, vocabulary_path
 
 #: A language is rejected below this share of the largest possible agreement with its profile.
-LEAST_LANGUAGE_SCORE = 0.1
+LEAST_LANGUAGE_SCORE = 0.02
 
 
 def _unused(name: str, columns: list[str]) -> str:

@@ -166,3 +166,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         (F.col("found.n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+phrases AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (
+  SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+windows AS (SELECT rn, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (
+  SELECT rn, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n)),
+hits AS (SELECT rn, n, i, item_id FROM windows JOIN phrases USING (n, p)),
+places AS (SELECT rn, count(DISTINCT j) AS n_hit FROM (SELECT rn, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT rn, i, n FROM hits)) GROUP BY rn),
+items AS (SELECT rn, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (rn) LEFT JOIN items USING (rn)
+"""

@@ -2,9 +2,10 @@
 
 The standard library's parser streams events; block-level tags cut the page into lines. Of each line
 the ratio of text to tags is taken, a Gaussian smooths the ratios over neighbouring lines, and lines
-above a threshold, a share of the ratios' standard deviation, cluster as content. The content region
-is the innermost element that holds nearly all of the clustered text; its text is every line in it
-that isn't in a menu, header, footer, notice, advert, form or comment.
+above a threshold, a share of the ratios' standard deviation, cluster as content. Where article (else
+main) elements hold a good part of it, they are the content regions; otherwise the region is the
+innermost element that holds nearly all of the clustered text. The page's text is every line in a
+region that isn't in a menu, header, footer, notice, advert, form or comment.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Page(HTMLParser):
         self._text: list[str] = []
         self._tags = 0
         self._count = 0
+        self.named: dict[str, set[int]] = {"article": set(), "main": set()}
 
     def handle_starttag(self, tag, attrs):
         self._tags += 1
@@ -75,6 +77,8 @@ class Page(HTMLParser):
             self._count += 1
             self._open.append((tag, self._count, out))
             self._holders += (self._count,)
+            if tag in self.named:
+                self.named[tag].add(self._count)
             self._out += out
 
     def handle_startendtag(self, tag, attrs):
@@ -135,7 +139,7 @@ def smooth(ratios: list[float], sigma: float) -> list[float]:
     return out
 
 
-def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, nearly: float = 0.9, chunk: int = 1 << 16) -> str:
+def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, nearly: float = 0.9, part: float = 0.3, chunk: int = 1 << 16) -> str:
     """The main text: blocks in page order, one line each; empty for null, empty or textless pages."""
     if not html:
         return ""
@@ -153,6 +157,10 @@ def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, n
     if not content:
         content = able
     total = sum(len(t) for t, _, _, _ in content)
+    for tag in ("article", "main"):
+        own = page.named[tag]
+        if sum(len(t) for t, _, holders, _ in content if not own.isdisjoint(holders)) >= part * total > 0:
+            return "\n".join(t for t, _, holders, _ in able if not own.isdisjoint(holders))
     held: dict[int, int] = {}
     for text, _, holders, _ in content:
         for h in holders:

@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 DOCUMENT, SENTENCE, INSIDE = 0, 1, 2
 
 
-def choose_cuts(positions: list[int], kinds: list[int], size: int, penalties: tuple[int, int, int], power_of_two: bool = True) -> tuple[list[int], int]:
+def choose_cuts(positions: list[int], kinds: list[int], size: int, penalties: tuple[int, int, int], worth: int | None = None) -> tuple[list[int], int]:
     """The boundaries, as indexes of ``positions``, at which sequences end, and the total cost.
 
     ``positions`` ascend from 0, without gaps over ``size``; the last is always a cut, free of penalty.
+    Lengths that are powers of two are tried where the best other predecessor leaves more padding than
+    ``worth`` (a 64th of the size; -1 tries them everywhere, for the exact optimum).
     """
     n = len(positions)
     best, before = [0] * n, [-1] * n
     queue: deque[tuple[int, int]] = deque([(0, 0)])
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size] if power_of_two else []
-    at = dict(zip(positions, range(n))) if powers else {}
-    wide = size // 64  # less padding than this isn't worth a lookup
+    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
+    at = dict(zip(positions, range(n)))
+    worth = size // 64 if worth is None else worth
     for j in range(1, n):
         p = positions[j]
         least = p - size
@@ -43,7 +45,7 @@ def choose_cuts(positions: list[int], kinds: list[int], size: int, penalties: tu
             queue.popleft()
         cost, i = queue[0]
         cost += size - p
-        if positions[i] - least > wide:
+        if positions[i] - least > worth:
             for w in powers:
                 if (k := at.get(p - w, -1)) >= 0 and best[k] < cost:
                     cost, i = best[k], k

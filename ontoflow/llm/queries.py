@@ -23,4 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.ORACLE_SQL,
+        "op4_decontamination": decontamination.ORACLE_SQL,
+        "op7_warc": warc.ORACLE_SQL,
     }

@@ -212,3 +212,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     write_warc(records_of(read(spark, sf_dir, "pages")), folder)
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of the hexadecimal SHA-1, five bytes (ten digits) at a time.
+_DIGITS = "list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1))"
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT html, max(page_id) AS last FROM p GROUP BY html HAVING count(*) > 1)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
+  array_to_string(flatten(list_transform([1, 11, 21, 31], lambda a: list_transform([('0x' || substr(h, a, 10))::BIGINT], lambda v: array_to_string({_DIGITS}, '')))), '') AS payload_digest,
+  CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM p LEFT JOIN m USING (html)
+"""
