@@ -16,6 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import clamp, greatest_of, in_interval, least_of, mean_of, share_of
 from ..plans.ir import Dag, Kind, Node
 from ..sources.graph import Graph
 from ..storage import materialize
@@ -110,23 +111,16 @@ def _local(n: Node, children: list[Column], names: dict[str, str]) -> Column:
         # Literals have a datatype; numbers that aren't known, or are NaN, meet no bound.
         ok = F.col("dt") == n.datatype if n.datatype is not None else F.col("dt").isNotNull()
         if n.low is not None or n.high is not None:
-            ok &= F.col("num").isNotNull() & ~F.isnan("num")
-        if n.low is not None:
-            ok &= F.col("num") > n.low if n.low_open else F.col("num") >= n.low
-        if n.high is not None:
-            ok &= F.col("num") < n.high if n.high_open else F.col("num") <= n.high
+            ok &= in_interval(F.col("num"), n.low, n.high, n.low_open, n.high_open)
         return F.coalesce(ok.cast("double"), F.lit(0.0))
     if n.kind is Kind.NEGATION:
         return 1.0 - children[0]
     if n.kind is Kind.INTERSECTION and n.mean:
-        total = children[0]
-        for c in children[1:]:
-            total = total + c
-        return total / F.lit(float(len(children)))
+        return mean_of(children)
     if n.kind is Kind.INTERSECTION:
-        return F.least(*children) if len(children) > 1 else children[0]
+        return least_of(children)
     if n.kind is Kind.UNION:
-        return F.greatest(*children) if len(children) > 1 else children[0]
+        return greatest_of(children)
     raise NotImplementedError(n.kind)
 
 
@@ -192,14 +186,13 @@ def _with_edges(graph: Graph, below: DataFrame, frame: DataFrame, key, own: list
             if n.kind is not Kind.MIN_CARD:
                 raise NotImplementedError("only a minimum cardinality can be fuzzy")
             aggs[f"_a{i}"] = F.count_if(v > 0)
-            share = F.coalesce(f"_a{i}", F.lit(0)).cast("double") / F.lit(float(n.k)) if n.k > 0 else F.lit(1.0)
-            result[i] = F.least(F.lit(1.0), share)
+            result[i] = share_of(F.coalesce(f"_a{i}", F.lit(0)), n.k)
         elif i not in sources or crisp[n.children[0]]:
             aggs[f"_a{i}"] = F.count_if(v > 0)
             result[i] = _cardinality(n, lambda k, a=f"_a{i}": (F.coalesce(a, F.lit(0)) >= k).cast("double"))
         else:
             ranked.append(i)
-            result[i] = _cardinality(n, lambda k, i=i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(f"_k{i}_{k}", F.lit(0.0)))))
+            result[i] = _cardinality(n, lambda k, i=i: clamp(F.coalesce(f"_k{i}_{k}", F.lit(0.0))))
     if aggs:
         frame = frame.join(met.groupBy(F.col("r").alias("id")).agg(*(c.alias(a) for a, c in aggs.items())), "id", "left")
     for i in ranked:
