@@ -195,6 +195,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
         packer = Packer(size, penalties)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         rows: list[tuple] = []
+        slim = (lambda piece: piece) if with_ids else (lambda piece: piece[:7])
 
         def out(rows):
             columns = list(zip(*rows))
@@ -206,11 +207,11 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(texts), 256):
                 for doc_id, own in zip(doc_ids[a : a + 256], tokenizer(vocabulary).ids(texts[a : a + 256])):
-                    rows += packer.take(doc_id, own + end, sentence_ends(np.frombuffer(own, "<u4"), stops))
-                if len(rows) > 5000:
+                    rows += map(slim, packer.take(doc_id, own + end, sentence_ends(np.frombuffer(own, "<u4"), stops)))
+                if len(rows) > 2000:
                     yield out(rows)
                     rows = []
-        rows += packer.finish()
+        rows += map(slim, packer.finish())
         if rows:
             yield out(rows)
         give_back()
