@@ -200,7 +200,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
         def out(rows):
             columns = list(zip(*rows))
             columns[5] = [base + s for s in columns[5]]
-            arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(columns[7], pa.binary())] * with_ids
+            arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.binary()) for c in columns[7:]]
             return pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
         for batch in batches:
