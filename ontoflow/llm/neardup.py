@@ -340,10 +340,17 @@ def keep_one(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
     texts = materialize(_text_classes(documents, settings), "text-classes")
     # Null ids come last: a struct orders by its first field, and false is less than true.
     first = texts.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("n"), F.col("_first").alias("i"), F.col("_key").alias("k"))).alias("m"))
-    kept = first.select(F.col("m.k").alias("_kept_key"), F.col("m.i").alias("_kept_id"))
-    rows = documents.withColumn("_kept_key", F.md5("text"))
-    chosen = rows.join(kept, "_kept_key").where(F.col("doc_id").eqNullSafe(F.col("_kept_id"))).dropDuplicates(["_kept_key"])
-    return chosen.select(*documents.columns).union(documents.where("text IS NULL"))
+    kept = first.select(F.col("m.k").alias("_key"), F.col("m.i").alias("_id"), F.lit(True).alias("_kept"))
+    slim = documents.where("text IS NOT NULL").select("doc_id", F.md5("text").alias("_key")).groupBy("doc_id", "_key").agg(F.count("*").alias("_n"))
+    judged = slim.join(kept, "_key", "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # The rows that go are few, and written: while they are small the planner sees so and leaves the texts where they are.
+    gone = materialize(judged.where("NOT _kept OR _n > 1").select(F.col("doc_id").alias("_gone_id"), F.col("_key").alias("_gone_key"), (F.col("_kept") & (F.col("_n") > 1)).alias("_again")), "gone")
+    same = F.md5(F.col("text")).eqNullSafe(F.col("_gone_key")) & F.col("doc_id").eqNullSafe(F.col("_gone_id"))
+    rest = documents.join(gone.drop("_again"), same, "left_anti")
+    if gone.where("_again").isEmpty():
+        return rest
+    again = documents.join(gone.where("_again"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.union(again)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
