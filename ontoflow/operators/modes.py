@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.compile import DENIED, Compiler, negative_support, requirements, supported_antecedent
-from ..plans.schema import Schema, strongly_connected
+from ..plans.schema import Schema, closed, strongly_connected
 from ..sources.graph import Graph
 from ..sources.rdf import Facts
 from ..storage import materialize
@@ -18,8 +18,8 @@ from .lower import scores
 from .reasoner import SATISFIED, expand_aliases
 
 
-#: Passes of acyclic rules that one plan holds before the memberships are written down.
-PASSES_IN_PLAN = 3
+#: Passes of acyclic rules that one plan holds before the memberships are written; planning grows faster than writing.
+PASSES_IN_PLAN = 1
 
 
 @dataclass(frozen=True)
@@ -129,6 +129,8 @@ def fixpoint(graph: Graph, roots: dict[str, int], compiler: Compiler, depends: d
     Classes are taken by strongly connected components, what they depend on first; components without
     a cycle need one pass, and those of one depth share it. Raises NotConverged after ``rounds``.
     """
+    # Each pass reads the types twice: from a table, not from however many sources they come.
+    graph = replace(graph, types=materialize(graph.types.select("id", "cls", "w"), "types"))
     start = graph.types.where(F.col("w") >= threshold).select("id", "cls")
     parts = strongly_connected({c: depends.get(c, set()) & roots.keys() for c in roots})
     level: dict[str, int] = {}
@@ -152,7 +154,8 @@ def fixpoint(graph: Graph, roots: dict[str, int], compiler: Compiler, depends: d
             if uncut == PASSES_IN_PLAN:
                 graph, uncut = replace(graph, types=materialize(graph.types, "types")), 0
             continue
-        graph, uncut = replace(graph, types=materialize(graph.types, "types")), 0
+        if uncut:
+            graph, uncut = replace(graph, types=materialize(graph.types, "types")), 0
         for _ in range(rounds):
             have = graph.types.where(F.col("w") >= threshold).select("id", "cls")
             fresh = materialize(found(graph).join(have, ["id", "cls"], "left_anti"), "fresh")
@@ -173,12 +176,36 @@ def materialize_positive(prepared: Prepared, targets: list[str] | None = None, *
     if targets is not None:
         wanted = schema.relevant(targets)
         rules = [(a, c) for a, c in rules if c in wanted]
+    rules, given = _without_given(rules)
+    graph = prepared.facts.graph
+    if given:
+        graph = graph.with_types(closure.class_hierarchy(graph.types, _table(graph.nodes.sparkSession, given, "cls", "sup")))
     compiler = Compiler(schema, helpers=True, aliases=_aliases(prepared, rules))
     roots = compiler.sufficient(rules)
     depends: dict[str, set[str]] = {}
     for a, c in rules:
         depends.setdefault(c, set()).update(a.depends_on())
-    return fixpoint(prepared.facts.graph, roots, compiler, depends, **options)
+    before = prepared.facts.graph.types.where(F.col("w") >= SATISFIED).select("id", "cls")
+    out, added = fixpoint(graph, roots, compiler, depends, **options)
+    return out, added if not given else out.types.where(F.col("w") >= SATISFIED).select("id", "cls").join(before, ["id", "cls"], "left_anti")
+
+
+def _without_given(rules: list) -> tuple[list, list[tuple[str, str]]]:
+    """(rules left, (class, superclass) pairs): rules that only asserted members need.
+
+    Where every condition for C has D among its conjuncts, C's derived members are D's already; what
+    C within D adds is for asserted ones, and is done once, ahead. This leaves definitions acyclic.
+    """
+    by: dict[str, list] = {}
+    for a, c in rules:
+        by.setdefault(c, []).append(a)
+    holds = lambda x, c: c in {p.name for p in (x.parts if x.kind == "and" else (x,)) if p.kind == "named"}
+    given: dict[str, set[str]] = {}
+    for a, c in rules:
+        if a.kind == "named" and by.get(a.name) and all(holds(x, c) for x in by[a.name]):
+            given.setdefault(a.name, set()).add(c)
+    left = [(a, c) for a, c in rules if not (a.kind == "named" and c in given.get(a.name, ()))]
+    return left, [(c, s) for c, above in closed(given).items() for s in sorted(above - {c})]
 
 
 def materialize_definitions(prepared: Prepared, targets: list[str], **options) -> tuple[Graph, DataFrame]:

@@ -91,13 +91,13 @@ class Schema:
         for a, b in [*self.sub, *self.equivalent, *((b, a) for a, b in self.equivalent)]:
             if a.kind == "named":
                 direct[a.name] |= {x.name for x in (b.parts if b.kind == "and" else (b,)) if x.kind == "named"}
-        return _closed(direct)
+        return closed(direct)
 
     def super_properties(self) -> dict[str, set[str]]:
         direct: dict[str, set[str]] = defaultdict(set)
         for p, q in self.sub_properties:
             direct[p].add(q)
-        return _closed(direct)
+        return closed(direct)
 
     def family(self, prop: str) -> list[str]:
         """The property and all its subproperties."""
@@ -198,7 +198,8 @@ class Schema:
         return _Reader(triples).schema()
 
 
-def _closed(direct: dict[str, set[str]]) -> dict[str, set[str]]:
+def closed(direct: dict[str, set[str]]) -> dict[str, set[str]]:
+    """What is reached from each key."""
     out = {}
     for start in direct:
         seen: set[str] = set()
