@@ -602,4 +602,16 @@ def bgp_triples(spark, sf_dir):
     return match(t, [("?o", TYPE, "1-URGENT"), ("?o", "placedBy", "?c"), ("?c", "custNation", "?n")], ["o", "n"])
 
 
+@query("members_agreement", f"""WITH f AS (SELECT DISTINCT dst AS id FROM {PLACED} WHERE o_orderpriority = '1-URGENT'), e AS (SELECT id FROM {CUSTOMERS} WHERE c_acctbal > 0)
+SELECT 'Urgent' AS cls, tp, fp, fn, tp::DOUBLE / (tp + fp)::DOUBLE AS precision, tp::DOUBLE / (tp + fn)::DOUBLE AS recall FROM (
+SELECT (SELECT count(*) FROM f JOIN e USING (id)) AS tp, (SELECT count(*) FROM f WHERE id NOT IN (SELECT id FROM e)) AS fp, (SELECT count(*) FROM e WHERE id NOT IN (SELECT id FROM f)) AS fn)""")
+def members_agreement(spark, sf_dir):
+    """How far urgent customers are those with a balance over 0."""
+    from .operators.metrics import agreement
+
+    found = exists_urgent_customer(spark, sf_dir).where("score >= 0.999").select("id", F.lit("Urgent").alias("cls"))
+    rich = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0").select((F.lit(KINDS["customer"] * 10**12) + F.col("c_custkey")).alias("id"), F.lit("Urgent").alias("cls"))
+    return agreement(found, rich)
+
+
 __all__ = ["THING", "oracle_sql", "queries"]

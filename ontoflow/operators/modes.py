@@ -64,6 +64,21 @@ def _table(spark: SparkSession, rows, *names: str) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(c, pa.string()) for c in columns], names=list(names)))
 
 
+def plan_passes(schema: Schema, profile: Profile = PROFILES["full"]) -> list[tuple[str, bool, str]]:
+    """(pass, whether it runs, why) of each preparation pass, in their order."""
+    no = "the profile leaves it out"
+    told = [
+        ("reflexive", profile.reflexive, len(schema.reflexive), "reflexive properties"),
+        ("property_hierarchy", profile.hierarchy, len(schema.sub_properties), "subproperty axioms"),
+        ("domain_range", profile.domain_range, len(schema.domains) + len(schema.ranges), "domains and ranges"),
+        ("class_hierarchy", profile.hierarchy, sum(map(len, schema.super_classes().values())), "superclasses of named classes"),
+        ("same_as", profile.same_as, 1, "equality is up to the data"),
+        ("has_key", profile.has_key and profile.same_as, len(schema.keys), "keys"),
+        ("roles", profile.roles, len(schema.sub_properties) + len(schema.inverses) + len(schema.chains) + len(schema.transitive), "role axioms"),
+    ]
+    return [(name, on and n > 0, no if not on else f"{n} {what}" if n != 1 or name != "same_as" else what) for name, on, n, what in told]
+
+
 def prepare(facts: Facts, schema: Schema, profile: Profile = PROFILES["full"]) -> Prepared:
     """The passes of a profile, in their order: reflexive, hierarchy, domains and ranges, equality, roles."""
     g = facts.graph

@@ -44,12 +44,14 @@ def partial_paths(graph: Graph, steps: list[tuple[str, str]]) -> DataFrame:
     return graph.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def path_sparql(steps: list[tuple[str, str]]) -> str:
-    """The exact pattern as a SPARQL query."""
+def path_sparql(steps: list[tuple[str, str]], partial: bool = False) -> str:
+    """The pattern as a SPARQL query: nodes with a whole walk, or each node's best share of matches."""
     if not steps:
         raise ValueError("a path needs a step")
-    lines = []
-    for i, (prop, cls) in enumerate(steps):
-        subject = "?v" if i == 0 else f"?x{i}"
-        lines += [f"  {subject} <{prop}> ?x{i + 1} .", f"  ?x{i + 1} a <{cls}> ."]
-    return "SELECT DISTINCT ?v WHERE {\n" + "\n".join(lines) + "\n}"
+    hops = [("?v" if i == 0 else f"?x{i}", prop, f"?x{i + 1}", cls) for i, (prop, cls) in enumerate(steps)]
+    if not partial:
+        lines = [x for s, p, o, c in hops for x in (f"  {s} <{p}> {o} .", f"  {o} a <{c}> .")]
+        return "SELECT DISTINCT ?v WHERE {\n" + "\n".join(lines) + "\n}"
+    lines = [x for i, (s, p, o, c) in enumerate(hops) for x in (f"    {s} <{p}> {o} . {o} a ?t{i} .", f"    BIND(IF(EXISTS {{ {o} a <{c}> }}, 1, 0) AS ?m{i})")]
+    total = " + ".join(f"?m{i}" for i in range(len(hops)))
+    return f"SELECT ?v (MAX(COALESCE(?m, 0)) / {float(len(hops))} AS ?score) WHERE {{\n  ?v ?any ?thing .\n  OPTIONAL {{\n" + "\n".join(lines) + f"\n    BIND({total} AS ?m)\n  }}\n}} GROUP BY ?v"
