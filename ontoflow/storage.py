@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_root(spark: SparkSession) -> str:
             return known.get()
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="ontoflow-")
+        own = tempfile.mkdtemp(prefix="ontoflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = "file://" + own
         spark.sparkContext.setCheckpointDir(root)
     return root
 
