@@ -7,9 +7,9 @@ draws samples that two texts share with the probability of their weighted Jaccar
 samples make buckets.
 
 In each bucket every text meets the bucket's first text, and the pair is verified by its exact
-weighted Jaccard similarity. What isn't like the first text meets its own kind in blocks: samples are
-compared all with all inside a task, and only a spanning forest of the likely pairs goes on to be
-verified. Verified links are joined to classes by label propagation. No step makes all pairs of a
+weighted Jaccard similarity. What isn't like the first text meets its own kind and what is, in blocks:
+samples are compared all with all inside a task, and only a spanning forest of the likely pairs between
+classes goes on to be verified. Verified links are joined to classes by label propagation. No step makes all pairs of a
 bucket, and none needs a bucket in one task.
 """
 
@@ -234,27 +234,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, settings: Settings) ->
 
 
 def _likely_pairs(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b) likely alike in the same bucket, by samples: in each block a spanning forest."""
-    sized = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    parts = F.ceil(F.col("n") / settings.block).cast("int")
-    own = F.pmod(F.xxhash64("key"), parts)
+    """(a, b) likely alike in the same bucket, by samples: in each block a spanning forest.
+
+    ``rows`` has bucket, key and samples, and may have label, equal for texts that are joined already,
+    and apart, false for texts that are all joined with each other: no block is made of those alone.
+    """
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", F.col("key"))
+    if "apart" not in rows.columns:
+        rows = rows.withColumn("apart", F.lit(True))
+    counts = rows.groupBy("bucket").agg(F.count_if("apart").alias("n"), F.count_if(~F.col("apart")).alias("m")).where("n > 0 AND n + m > 1")
+    sized = rows.join(counts, "bucket")
+    whole = F.col("n") + F.col("m") <= settings.block
+    here = whole | F.col("apart")
+    parts = F.when(whole, 1).otherwise(F.ceil(F.col("n") / settings.block)).cast("int")
+    others = F.when(whole, 0).otherwise(F.ceil(F.col("m") / settings.block)).cast("int")
+    own = F.when(here, F.pmod(F.xxhash64("key"), parts)).otherwise(parts + F.pmod(F.xxhash64("key"), F.greatest(others, F.lit(1)))).cast("int")
     # A pair of parts is a block; a row goes to all blocks of its part.
-    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j.cast("long")).alias("i"), F.greatest(own, j.cast("long")).alias("j")))
-    wide = sized.select("bucket", "key", "samples", F.explode(blocks).alias("block"))
+    ends = F.sequence(F.lit(0), F.when(here, parts + others).otherwise(parts) - 1)
+    sized = sized.withColumn("part", own).withColumn("ends", ends)
+    blocks = F.transform("ends", lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    wide = sized.select("bucket", "key", "label", "samples", "part", F.explode(blocks).alias("block"))
 
     def pick(table):
         import pandas as pd
 
         table = table.drop_duplicates("key").sort_values("key")
-        keys, s = table.key.tolist(), np.stack(table.samples.to_numpy())
+        keys, s, part = table.key.tolist(), np.stack(table.samples.to_numpy()), table.part.to_numpy()
+        label = np.unique(table.label.to_numpy(), return_inverse=True)[1]
+        two = part.min() < part.max()
         n, least = len(keys), settings.likely * settings.samples
         linked, best, to = np.zeros(n, bool), np.full(n, -1), np.zeros(n, np.int64)
         a, b, at = [], [], 0
-        for _ in range(n):  # Prim's algorithm; trees begin anew where nothing likely is left
-            linked[at] = True
-            agree = (s == s[at]).sum(1)
-            better = ~linked & (agree > best)
-            best[better], to[better] = agree[better], at
+        while True:  # Prim's algorithm; trees begin anew where nothing likely is left
+            new = np.flatnonzero((label == label[at]) & ~linked)
+            linked[new] = True
+            for k in new.tolist():
+                agree = (s == s[k]).sum(1)
+                better = ~linked & (agree > best)
+                if two:
+                    better &= part != part[k]
+                best[better], to[better] = agree[better], k
             rest = np.flatnonzero(~linked)
             if not len(rest):
                 break
@@ -301,9 +321,15 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     texts = documents.where("text IS NOT NULL").select(F.md5("text").alias("_key"), "text").join(wanted, "_key", "left_semi").groupBy("_key").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
     first = materialize(_verified(pairs, texts, shared, settings), "verified")
-    apart = met.join(first.where("NOT similar").select(F.col("a").alias("key"), F.col("b").alias("leader")), ["key", "leader"], "left_semi").select("bucket", "key")
-    apart = apart.join(signed.select(F.col("_key").alias("key"), "samples"), "key")
-    more = _likely_pairs(apart, settings).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    labels = components(first.where("similar").select("a", "b"), "joined")
+    rows = met.union(met.select("bucket", "leader", "leader").distinct())
+    rows = rows.join(labels.toDF("key", "label"), "key", "left").join(labels.toDF("leader", "first"), "leader", "left")
+    rows = rows.select("bucket", "key", F.coalesce("label", "key").alias("label"), F.coalesce("first", "leader").alias("first"))
+    rows = rows.withColumn("apart", F.col("label") != F.col("first")).drop("first")
+    some = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("m > 0 AND n > 2").select("bucket")
+    rows = rows.join(some, "bucket", "left_semi").join(signed.select(F.col("_key").alias("key"), "samples"), "key")
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _likely_pairs(rows, settings).join(done, ["a", "b"], "left_anti")
     second = _verified(materialize(more, "more-pairs"), texts, shared, settings)
     links = first.where("similar").select("a", "b").union(second.where("similar").select("a", "b"))
     return components(links, "classes").toDF("_key", "_class")

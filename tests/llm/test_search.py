@@ -194,6 +194,26 @@ def test_unlike_members_of_a_bucket_meet_each_other(spark):
         assert len({("k004", "z1"), ("k004", "z2"), ("z1", "z2")} & got) >= 2 and all({a, b} <= {"k004", "z1", "z2"} for a, b in got)
 
 
+def edited_copies(originals, copies, edits, words_in=300):
+    """(doc_id, text): originals, and copies of each with words of their own in a few places."""
+    rng = random.Random(11)
+    rows = []
+    for o in range(originals):
+        own = [f"o{o}w{i}" for i in range(words_in)]
+        rows.append((len(rows), " ".join(own)))
+        for c in range(copies):
+            w = list(own)
+            for n, at in enumerate(rng.sample(range(4, words_in - 4, 6), edits)):
+                w[at] = f"edit{o}x{c}x{n}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_texts_like_the_first_one_meet_those_that_are_not(spark):
+    docs = spark.createDataFrame(edited_copies(40, 2, 6), "doc_id long, text string").repartition(3)
+    assert neardup.classify(docs).select("class_id").distinct().count() == 40
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "x"), ("y", "z")], "a string, b string")
     got = {r.node: r.label for r in neardup.components(edges).collect()}
