@@ -8,8 +8,9 @@ samples make buckets.
 
 In each bucket every text meets the bucket's first text, and the pair is verified by its exact
 weighted Jaccard similarity. What isn't like the first text meets its own kind and what is, in blocks:
-samples are compared all with all inside a task, and only a spanning forest of the likely pairs between
-classes goes on to be verified. Verified links are joined to classes by label propagation. No step makes all pairs of a
+samples are compared all with all inside a task, and the likely pairs of a few texts, those with the
+most, go on to be verified. Rounds with ever more such texts follow, over what isn't joined by then,
+until every likely pair is verified or inside a class. Verified links are joined to classes by label propagation. No step makes all pairs of a
 bucket, and none needs a bucket in one task.
 """
 
@@ -35,6 +36,7 @@ class Settings:
     rare: float = 0.01  # shingles in a smaller share of documents than this all have the largest idf
     likely: float = 0.5  # share of samples that makes a pair worth verifying inside a block
     block: int = 1000  # texts in a block
+    hubs: int = 4  # texts of a block whose likely pairs are verified in the first round; in the next, eight times as many
     seed: int = 20
 
     @property
@@ -233,11 +235,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, settings: Settings) ->
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string, similar boolean")
 
 
-def _likely_pairs(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b) likely alike in the same bucket, by samples: in each block a spanning forest.
+def _likely_pairs(rows: DataFrame, settings: Settings, hubs: int = 0) -> DataFrame:
+    """(a, b, bucket, rest) likely alike in the same bucket, by samples, and not joined already.
 
-    ``rows`` has bucket, key and samples, and may have label, equal for texts that are joined already,
-    and apart, false for texts that are all joined with each other: no block is made of those alone.
+    In each block the pairs of the ``hubs`` texts that have the most and likeliest are given, or all;
+    ``rest`` tells whether the block has more. ``rows`` has bucket, key and samples, and may have label,
+    equal for texts that are joined already, and apart, false for texts that are all joined with each
+    other: no block is made of those alone.
     """
     if "label" not in rows.columns:
         rows = rows.withColumn("label", F.col("key"))
@@ -259,33 +263,42 @@ def _likely_pairs(rows: DataFrame, settings: Settings) -> DataFrame:
     def pick(table):
         import pandas as pd
 
+        bucket = table.bucket.iloc[0]
         table = table.drop_duplicates("key").sort_values("key")
-        keys, s, part = table.key.tolist(), np.stack(table.samples.to_numpy()), table.part.to_numpy()
+        keys, s, part = np.array(table.key.tolist(), object), np.stack(table.samples.to_numpy()), table.part.to_numpy()
         label = np.unique(table.label.to_numpy(), return_inverse=True)[1]
-        two = part.min() < part.max()
-        n, least = len(keys), settings.likely * settings.samples
-        linked, best, to = np.zeros(n, bool), np.full(n, -1), np.zeros(n, np.int64)
-        a, b, at = [], [], 0
-        while True:  # Prim's algorithm; trees begin anew where nothing likely is left
-            new = np.flatnonzero((label == label[at]) & ~linked)
-            linked[new] = True
-            for k in new.tolist():
-                agree = (s == s[k]).sum(1)
-                better = ~linked & (agree > best)
-                if two:
-                    better &= part != part[k]
-                best[better], to[better] = agree[better], k
-            rest = np.flatnonzero(~linked)
-            if not len(rest):
-                break
-            at = int(rest[np.argmax(best[rest])])
-            if best[at] >= least:
-                x, y = sorted((keys[at], keys[int(to[at])]))
-                a.append(x)
-                b.append(y)
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
-
-    return wide.groupBy("bucket", "block").applyInPandas(lambda t: pick(t), "a string, b string").distinct()
+        two, n, least = part.min() < part.max(), len(keys), settings.likely * settings.samples
+
+        def likely(k):
+            open_ = label != label[k]
+            if two:
+                open_ &= part != part[k]
+            other = np.flatnonzero(open_)
+            agree = (s[other] == s[k]).sum(1)
+            return other[agree >= least], agree[agree >= least]
+
+        # Likelier pairs weigh more: the text that many were made from goes before those.
+        weight = np.zeros(n)
+        some = 0
+        for k in range(n):
+            other, agree = likely(k)
+            some += len(other)
+            weight[k] = ((agree - least + 1.0) ** 2).sum()
+        chosen = np.argsort(-weight, kind="stable")[: hubs or n]
+        used, given = np.zeros(n, bool), 0
+        a, b = [], []
+        for k in chosen[weight[chosen] > 0].tolist():
+            other, _ = likely(k)
+            other = other[~used[other]]
+            used[k] = True
+            given += len(other)
+            a.append(np.minimum(other, k))
+            b.append(np.maximum(other, k))
+        first, second = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pd.DataFrame({"a": keys[first], "b": keys[second], "bucket": [bucket] * given, "rest": [2 * given < some] * given}, dtype=object)
+
+    kind = f"a string, b string, bucket {rows.schema['bucket'].dataType.simpleString()}, rest boolean"
+    return wide.groupBy("bucket", "block").applyInPandas(lambda t: pick(t), kind)
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -321,18 +334,31 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     texts = documents.where("text IS NOT NULL").select(F.md5("text").alias("_key"), "text").join(wanted, "_key", "left_semi").groupBy("_key").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
     first = materialize(_verified(pairs, texts, shared, settings), "verified")
-    labels = components(first.where("similar").select("a", "b"), "joined")
-    rows = met.union(met.select("bucket", "leader", "leader").distinct())
-    rows = rows.join(labels.toDF("key", "label"), "key", "left").join(labels.toDF("leader", "first"), "leader", "left")
-    rows = rows.select("bucket", "key", F.coalesce("label", "key").alias("label"), F.coalesce("first", "leader").alias("first"))
-    rows = rows.withColumn("apart", F.col("label") != F.col("first")).drop("first")
-    some = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("m > 0 AND n > 2").select("bucket")
-    rows = rows.join(some, "bucket", "left_semi").join(signed.select(F.col("_key").alias("key"), "samples"), "key")
+    links = first.where("similar").select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _likely_pairs(rows, settings).join(done, ["a", "b"], "left_anti")
-    second = _verified(materialize(more, "more-pairs"), texts, shared, settings)
-    links = first.where("similar").select("a", "b").union(second.where("similar").select("a", "b"))
-    return components(links, "classes").toDF("_key", "_class")
+    classes = components(links, "classes")
+    members = met.union(met.select("bucket", "leader", "leader").distinct())
+    samples = signed.select(F.col("_key").alias("key"), "samples")
+    hubs = settings.hubs
+    while True:
+        rows = members.join(classes.toDF("key", "label"), "key", "left").join(classes.toDF("leader", "first"), "leader", "left")
+        rows = rows.select("bucket", "key", "leader", F.coalesce("label", "key").alias("label"), F.coalesce("first", "leader").alias("first"))
+        rows = rows.withColumn("apart", F.col("label") != F.col("first")).drop("first")
+        some = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("m > 0 AND n > 2").select("bucket")
+        rows = materialize(rows.join(some, "bucket", "left_semi"), "apart")
+        # A block has two parts: with as many hubs all its pairs are given, and nothing rests.
+        found = materialize(_likely_pairs(rows.join(samples, "key"), settings, hubs), "likely-pairs")
+        more = materialize(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "more-pairs")
+        if not more.isEmpty():
+            verified = _verified(more, texts, shared, settings).where("similar").select("a", "b")
+            links = materialize(links.union(verified), "links")
+            done = materialize(done.union(more), "done")
+            classes = components(links, "classes")
+        again = found.where("rest").select("bucket").distinct()
+        if again.isEmpty():
+            return classes.toDF("_key", "_class")
+        members = rows.join(again, "bucket", "left_semi").select("bucket", "key", "leader")
+        hubs *= 8
 
 
 def _text_classes(documents: DataFrame, settings: Settings) -> DataFrame:

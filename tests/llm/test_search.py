@@ -214,6 +214,15 @@ def test_texts_like_the_first_one_meet_those_that_are_not(spark):
     assert neardup.classify(docs).select("class_id").distinct().count() == 40
 
 
+def test_copies_of_one_original_meet_it_past_the_first_text(spark):
+    docs = spark.createDataFrame(edited_copies(3, 10, 3), "doc_id long, text string").repartition(3)
+    signed = {}
+    seen = neardup.near_duplicate_classes(docs).collect()
+    for r in seen:
+        signed.setdefault(r._class, set()).add(r._key)
+    assert sorted(map(len, signed.values())) == [11, 11, 11]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "x"), ("y", "z")], "a string, b string")
     got = {r.node: r.label for r in neardup.components(edges).collect()}
