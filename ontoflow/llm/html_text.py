@@ -4,7 +4,8 @@ The standard library's parser streams events; block-level tags cut the page into
 the ratio of text to tags is taken, a Gaussian smooths the ratios over neighbouring lines, and lines
 above a threshold, a share of the ratios' standard deviation, cluster as content. Where article (else
 main) elements hold a good part of it, they are the content regions; otherwise the region is the
-innermost element that holds nearly all of the clustered text. The page's text is every line in a
+innermost element that holds all clustered lines and main headings, and its ancestors as long as they
+add only headings. The page's text is every line in a
 region that isn't in a menu, header, footer, notice, advert, form or comment.
 """
 
@@ -39,6 +40,7 @@ _NAMES = frozenset(
     " respond disqus related recommended recommendations widget toolbar pagination pager contentinfo complementary search"
     " disclaimer copyright".split()
 )
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _KEEP = frozenset("html body article main".split())
 _WORDS = re.compile(r"[a-z]+")
 
@@ -55,7 +57,7 @@ class Page(HTMLParser):
         self._text: list[str] = []
         self._tags = 0
         self._count = 0
-        self.named: dict[str, set[int]] = {"article": set(), "main": set()}
+        self.named: dict[str, set[int]] = {tag: set() for tag in ("article", "main", *_HEADINGS)}
 
     def handle_starttag(self, tag, attrs):
         self._tags += 1
@@ -139,7 +141,7 @@ def smooth(ratios: list[float], sigma: float) -> list[float]:
     return out
 
 
-def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, nearly: float = 0.9, part: float = 0.3, chunk: int = 1 << 16) -> str:
+def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, part: float = 0.3, chunk: int = 1 << 16) -> str:
     """The main text: blocks in page order, one line each; empty for null, empty or textless pages."""
     if not html:
         return ""
@@ -161,13 +163,19 @@ def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, n
         own = page.named[tag]
         if sum(len(t) for t, _, holders, _ in content if not own.isdisjoint(holders)) >= part * total > 0:
             return "\n".join(t for t, _, holders, _ in able if not own.isdisjoint(holders))
-    held: dict[int, int] = {}
-    for text, _, holders, _ in content:
-        for h in holders:
-            held[h] = held.get(h, 0) + len(text)
-    # Elements are numbered as they open, so the last that holds enough is the innermost.
-    region = max((h for h, n in held.items() if n >= nearly * total), default=0)
-    return "\n".join(t for t, _, holders, may in able if not region or region in holders)
+    titles = page.named["h1"]
+    inside = [holders for _, _, holders, _ in content] + [holders for _, _, holders, _ in able if not titles.isdisjoint(holders)]
+    # Elements nest: what all lines share is the beginning of their holders.
+    low, high = min(inside), max(inside)
+    depth = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    region = low[:depth]
+    headings = set().union(*(page.named[tag] for tag in _HEADINGS))
+    while region:
+        added = [holders for _, _, holders, _ in able if holders[: len(region) - 1] == region[:-1] and holders[: len(region)] != region]
+        if any(headings.isdisjoint(holders) for holders in added):
+            break
+        region = region[:-1]
+    return "\n".join(t for t, _, holders, _ in able if holders[: len(region)] == region)
 
 
 def extract_text(pages: DataFrame, *, keep: Iterable[str] = ("page_id", "url"), html: str = "html", name: str = "text") -> DataFrame:

@@ -61,6 +61,17 @@ def test_main_text():
     assert long.count("\n") == 19999
 
 
+def test_heading_and_lede_outside_the_body_stay():
+    body = "".join(f"<p>{'word ' * 60}{k}.</p>" for k in range(40))
+    side = "<div><div>short</div><div>links</div></div>"
+    lede = "A lede that is a sentence of its own and belongs to the article."
+    for between in ("", "<div>12 May</div>"):
+        text = html_text.main_text(f"<body>{side}<div class=content><h1>The heading</h1>{between}<p>{lede}</p><div class=body>{body}</div></div>{side}</body>").split("\n")
+        assert "The heading" in text and lede in text and len([t for t in text if t.startswith("word")]) == 40
+    text = html_text.main_text(f"<body><div>off</div><div class=content><h2>Second</h2><div class=body>{body}</div></div></body>").split("\n")
+    assert text[0] == "Second" and len(text) == 41
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "", "z")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages)
