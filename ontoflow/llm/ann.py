@@ -5,7 +5,8 @@ and perturbed ones (a projection one step up or down), in the order of the squar
 steps crossed, which is that of estimated success. How many it visits is fitted on a bounded sample,
 so that a neighbour at the usual distance is met with the wanted probability. All rows are indexed;
 buckets are dealt to groups, large groups are split with their queries repeated, and each group
-returns its best few for each query, by exact distance. Queries that met too few rows are scanned for.
+returns its best few for each query, by exact distance. Queries that met too few rows, or whose k-th
+found is so far that the probes would miss too many neighbours at that distance, are scanned for.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ class Settings:
     functions: int = 6
     width: float = 1.7  # of a quantization step, in usual neighbour distances
     wanted: float = 0.96  # chance of meeting a neighbour at the usual distance
+    usual: float = 0.95  # the usual distance is that within which this share of rows have their k-th neighbour
+    least: float = 0.9  # chance of meeting a neighbour as far as a query's k-th found; with less, it is scanned for
     sample: int = 2000  # rows that the fit looks at
     most_probes: int = 729
     group: int = 4000  # index entries in a group
@@ -71,6 +74,7 @@ class Hasher:
         self.shift = rng.random(settings.tables * settings.functions)
         self.odd = rng.integers(1 << 61, 1 << 62, settings.functions) | 1
         self.probes, self.settings = probes, settings
+        self.reach = 0.0  # up to this distance the chance of meeting is that of settings.least
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, tables, functions): the steps' numbers, and the places inside them."""
@@ -108,7 +112,7 @@ class Hasher:
 def fit(sample: np.ndarray, rows: int, settings: Settings) -> Hasher:
     """The hasher for a table of ``rows`` vectors, from a sample of them.
 
-    The usual distance is the median over the sample's first rows of that to the neighbour whose rank
+    The usual distance is a high quantile over the sample's first rows of that to the neighbour whose rank
     in the sample answers to the k-th in the table; pairs at that distance, in random directions, are
     hashed to find the fewest probes that meet enough of them.
     """
@@ -116,7 +120,7 @@ def fit(sample: np.ndarray, rows: int, settings: Settings) -> Hasher:
     heads = sample[:200]
     d = np.sqrt(np.maximum(0, (heads**2).sum(1)[:, None] + (sample**2).sum(1)[None] - 2 * heads @ sample.T))
     rank = min(len(sample) - 1, max(1, round(settings.k * len(sample) / max(rows, 1))))
-    usual = float(np.median(np.sort(d, 1)[:, rank])) or float(np.abs(sample).max()) or 1.0
+    usual = float(np.quantile(np.sort(d, 1)[:, rank], settings.usual)) or float(np.abs(sample).max()) or 1.0
     hasher = Hasher(sample.shape[1], settings.width * usual, 1, settings)
     towards = rng.normal(size=heads.shape)
     near = heads + usual * towards / np.linalg.norm(towards, axis=1, keepdims=True)
@@ -135,9 +139,32 @@ def fit(sample: np.ndarray, rows: int, settings: Settings) -> Hasher:
                     first[r] = n
                     break
     hasher.probes = int(min(settings.most_probes, np.sort(first)[min(len(first) - 1, int(settings.wanted * len(first)))]))
+    hasher.reach = _reach(hasher, heads, usual, rng)
     return hasher
 
 
+def _reach(hasher: Hasher, heads: np.ndarray, usual: float, rng: np.random.Generator) -> float:
+    """The largest distance, up to four usual ones, at which probes meet a neighbour with the least chance."""
+    settings = hasher.settings
+    cells, up = hasher.cells(heads)
+    costs = np.zeros((len(heads), settings.tables, 1))
+    for i in range(settings.functions):
+        step = np.stack([np.zeros(up.shape[:2]), up[..., i] ** 2, (1 - up[..., i]) ** 2], -1)
+        costs = (costs[..., None] + step[:, :, None]).reshape(*up.shape[:2], -1)
+    last = np.sort(costs, 2)[..., min(hasher.probes, costs.shape[2]) - 1]
+    towards = rng.normal(size=(8, *heads.shape))
+    towards /= np.linalg.norm(towards, axis=2, keepdims=True)
+    for far in np.geomspace(4, 1 / 16, 121).tolist():
+        met = []
+        for t in towards:
+            gap = hasher.cells(heads + far * usual * t)[0] - cells
+            cost = np.where(gap < 0, up**2, np.where(gap > 0, (1 - up) ** 2, 0)).sum(2)
+            met.append(((np.abs(gap).max(2) <= 1) & (cost <= last + 1e-12)).any(1))
+        if np.mean(met) >= settings.least:
+            return far * usual
+    return 0.0
+
+
 def _best(queries, ids, x, k):
     """(query row, id, distance) of the k nearest and their ties, exact distances in double precision."""
     out = []
@@ -176,7 +203,8 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
     rows = rows.where(F.size("v") == dimension)
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) <= 1_000_003 * min(1.0, 1.5 * settings.sample / n)).limit(settings.sample)
     sample = np.array([r.v for r in drawn.select("v").collect()] or [r.v for r in rows.select("v").limit(settings.sample).collect()])
-    shared = spark.sparkContext.broadcast(fit(sample, n, settings))
+    fitted = fit(sample, n, settings)
+    shared = spark.sparkContext.broadcast(fitted)
     groups = max(1, -(-n * settings.tables // settings.group))
 
     def entries(queries: bool):
@@ -227,7 +255,7 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
 
     found = index.groupBy("g", "part").cogroup(asked.groupBy("g", "part")).applyInArrow(meet, found_kind)
     ranked = materialize(_ranked(found, settings.k), "ann-found")
-    short = rows.where("q").select(F.col("vec_id").alias("query_id"), "v").join(ranked.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < settings.k)
+    short = rows.where("q").select(F.col("vec_id").alias("query_id"), "v").join(ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("far")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < settings.k) | (F.col("far") > fitted.reach))
     parts = -(-short.count() // settings.scan)
     if not parts:
         return ranked

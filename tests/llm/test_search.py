@@ -107,6 +107,25 @@ def test_recall_and_exact_scores(spark):
         assert all(abs(s - exact[q][i]) < 1e-12 for i, s in own if i in exact[q])
 
 
+@pytest.mark.parametrize("dimension", [16, 64])
+def test_recall_in_sparse_regions(spark, dimension):
+    rng = np.random.default_rng(2)
+    centres = 1.5 * rng.normal(size=(40, dimension))
+    wide = np.where(np.arange(4000) % 5 < 2, 3.0, 1.0)
+    x = (centres[rng.integers(0, 40, 4000)] + 0.3 * wide[:, None] * rng.normal(size=(4000, dimension))).astype(np.float32).astype(float)
+    got = ann.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 11 == 0).collect()
+    found: dict = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall: dict = {1.0: [], 3.0: []}
+    for q in range(0, 4000, 11):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        recall[wide[q]].append(len(found[q] & set(np.argsort(d)[:10].tolist())) / 10)
+    print({w: round(float(np.mean(r)), 3) for w, r in recall.items()})
+    assert all(np.mean(r) >= 0.9 for r in recall.values())
+
+
 def test_small_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [3.0, 4.0]), (8, [3.0, 4.0])]
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(vectors(spark, rows), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False))).orderBy("query_id", "rank").collect()]
