@@ -55,8 +55,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids of what is left."""
-    return packing.pack_documents(docs, vocabulary_path())
+    """Sequences of at most 2048 ids of what is left, with the ids."""
+    return packing.pack_documents(docs, vocabulary_path(), with_ids=True)
 
 
 STAGES = [

@@ -195,6 +195,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
         packer = Packer(size, penalties)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         rows: list[tuple] = []
+        held = 0  # bytes of ids in rows
         slim = (lambda piece: piece) if with_ids else (lambda piece: piece[:7])
 
         def out(rows):
@@ -207,11 +208,21 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(texts), 256):
                 for doc_id, own in zip(doc_ids[a : a + 256], tokenizer(vocabulary).ids(texts[a : a + 256])):
-                    rows += map(slim, packer.take(doc_id, own + end, sentence_ends(np.frombuffer(own, "<u4"), stops)))
+                    for piece in packer.take(doc_id, own + end, sentence_ends(np.frombuffer(own, "<u4"), stops)):
+                        rows.append(slim(piece))
+                        held += len(piece[7]) if with_ids else 0
+                        if held >= 1 << 22:
+                            yield out(rows)
+                            rows, held = [], 0
                 if len(rows) > 2000:
                     yield out(rows)
-                    rows = []
-        rows += map(slim, packer.finish())
+                    rows, held = [], 0
+        for piece in packer.finish():
+            rows.append(slim(piece))
+            held += len(piece[7]) if with_ids else 0
+            if held >= 1 << 22:
+                yield out(rows)
+                rows, held = [], 0
         if rows:
             yield out(rows)
         give_back()

@@ -35,6 +35,17 @@ def test_filters_keep_columns_and_clean_rows(spark, tmp_path):
     assert kept[1] == kept[0] - {51, None} and kept[2] == kept[1] - {50} and kept[3] == kept[2] - {52}
 
 
+def test_pack_gives_the_ids(spark):
+    import zlib
+
+    rows = [(i, f"document {i} has words. " * (60_000 if i == 1 else 30), "en", "s", 9) for i in range(4)]
+    got = corpus_pipeline.pack(spark, docs(spark, rows), "").collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3}
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
+    for i in range(4):
+        assert sum(r.length for r in got if r.doc_id == i) == next(r.doc_tokens for r in got if r.doc_id == i)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
