@@ -10,27 +10,32 @@ landmark strings z, and a linear SVM theta over them scores
 so that a trained model is one weight per subsequence (hashed), and scoring costs the same for any
 number of landmarks. Gapped and inserted characters cost weight but keep the subsequence.
 
-A document is the set of its units: its words, without signs and in lower case, with digits and signs
-that stand for letters read as those, and runs of single letters joined. Its score is a logistic
-function of the largest unit score and of how many units score above 0, as a number and as a share of
-all, since in a long clean text a few do by chance. Units learn their labels from the labelled documents: one is
-taken for toxic if it, or a four-letter part of it, occurs in toxic documents far more often than the
-share of toxic documents explains.
+A unit is a word, without signs and in lower case, with digits and signs that stand for letters read
+as those, or a run of single letters joined. A sentence's score is that of its best unit, a document's
+that of its best sentence, turned into a probability by a logistic function that also sees how many
+units score above 0, as a number and as a share of all, since in a long clean text a few do by chance.
+
+The machine learns from labelled sentences, which have their document's label. Each distinct sentence
+counts once, so that copies teach nothing twice. Which unit of a toxic sentence is to blame is a choice
+between its instances: at first those that occur, themselves or by a four-letter part, in toxic
+sentences far more often than chance explains; then, in rounds, the best units by the machine so far,
+against the best units of clean sentences. Toxic units count again with a letter inserted or doubled.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterable
-from itertools import islice
+from itertools import chain, islice, repeat, zip_longest
 
 import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, map_texts, text_batches
+from .common import give_back, map_texts, materialize, text_batches
 from .language import held_out
 
 _PAD = 5
@@ -40,7 +45,9 @@ _HASH_BITS = 18
 _PATTERNS = [(0, a, b) for b in range(2, 5) for a in range(1, b)] + [(0, a, b, c) for c in range(3, 6) for b in range(2, c) for a in range(1, b)]
 #: Signs and digits read as letters.
 _LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}[.,;:!?]*(?!\S)")
+#: Behind these a sentence ends.
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _EDGE = 63
 
 
@@ -116,9 +123,19 @@ def feature_rows(units: list[str]):
     return rows, hashes, values / np.sqrt(np.maximum(norm, 1e-9))[rows]
 
 
-def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 256, c: float = 4.0) -> tuple[np.ndarray, float]:
-    """The weight of every hashed subsequence and the bias, from units of both kinds, most telling first."""
-    chosen = positive[: landmarks // 2] + negative[: landmarks - min(len(positive), landmarks // 2)]
+def _landmarks(units: list[str], n: int) -> list[str]:
+    """The first half of ``n`` units from the front, where the most telling are, the others evenly from the rest."""
+    front, rest = units[: n // 2], units[n // 2 :]
+    return front + rest[:: max(1, -(-len(rest) // max(1, n - len(front))))]
+
+
+def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 768, c: float = 3.0, balance: float = 0.2, disguise: float = 0.1) -> tuple[np.ndarray, float]:
+    """The weight of every hashed subsequence and the bias, from units of both kinds, most telling first.
+
+    Positive units weigh ``balance`` times as much as all negative ones together, and count again,
+    disguised, with the share ``disguise`` of their cost.
+    """
+    chosen = _landmarks(positive, landmarks // 2) + _landmarks(negative, landmarks // 2)
     # Only subsequences of landmarks count: columns are those, so that the matrices stay small.
     r, h, v = feature_rows(chosen)
     used, at = np.unique(h, return_inverse=True)
@@ -127,31 +144,49 @@ def fit_svm(positive: list[str], negative: list[str], *, landmarks: int = 256, c
     values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    units = positive + negative
+    hidden = list(dict.fromkeys(chain.from_iterable(map(disguised, positive))))
+    units = positive + negative + hidden
     parts = []
-    for a in range(0, len(units), 500):
-        r, h, v = feature_rows(units[a : a + 500])
+    for a in range(0, len(units), 250):
+        r, h, v = feature_rows(units[a : a + 250])
         at = np.minimum(np.searchsorted(used, h), len(used) - 1)
         known = used[at] == h
-        dense = np.zeros((len(units[a : a + 500]), len(used)), np.float32)
+        dense = np.zeros((len(units[a : a + 250]), len(used)), np.float32)
         np.add.at(dense, (r[known], at[known]), v[known])
         parts.append((dense @ phi.T).astype(np.float64) @ whiten)
     x = np.hstack([np.concatenate(parts), np.ones((len(units), 1))])
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    cost = c * np.where(y > 0, len(y) / (2 * max(1, len(positive))), len(y) / (2 * max(1, len(negative))))
+    del parts, dense
+    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative)), np.ones(len(hidden))])
+    each = c * max(1.0, balance * len(negative) / max(1, len(positive)))
+    cost = np.concatenate([np.full(len(positive), each), np.full(len(negative), c), np.full(len(hidden), disguise * each)])
+    theta = _squared_hinge(x, y, cost)
+    weights = np.zeros(1 << _HASH_BITS, np.float32)
+    weights[used] = (whiten @ theta[:-1]) @ phi
+    return weights, float(theta[-1])
+
+
+def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The linear machine of least squared hinge loss and squared weights, by Newton steps that halve until they help."""
+    ridge = np.ones(x.shape[1])
+    ridge[-1] = 1e-6
     theta = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
-    for _ in range(50):  # Newton's method on the squared hinge
+
+    def loss(w):
+        return ridge @ (w * w) + cost @ np.maximum(0, 1 - y * (x @ w)) ** 2
+
+    now = loss(theta)
+    for _ in range(100):
         inside = y * (x @ theta) < 1
         xs, cs = x[inside], cost[inside, None]
-        new = np.linalg.solve(ridge + xs.T @ (cs * xs), xs.T @ (cs[:, 0] * y[inside]))
-        if np.allclose(new, theta, atol=1e-9):
+        step = np.linalg.solve(np.diag(ridge) + xs.T @ (cs * xs), xs.T @ (cs[:, 0] * y[inside])) - theta
+        size = 1.0
+        while (then := loss(theta + size * step)) > now and size > 1e-6:
+            size /= 2
+        theta = theta + size * step
+        if now - then <= 1e-9 * now:
             break
-        theta = new
-    weights = np.zeros(1 << _HASH_BITS, np.float32)
-    weights[used] = (whiten @ theta[:-1]) @ phi
-    return weights, float(theta[-1])
+        now = then
+    return theta
 
 
 class Model:
@@ -202,10 +237,15 @@ def features(margin: float, above: int, units: int) -> np.ndarray:
     return np.array([min(max(margin, -2.0), 2.0), math.log1p(above), math.log((above + 0.5) / (units + 50)), 1.0])
 
 
-def _units_of(text: str | None) -> set[str]:
-    out = {unit(c) for c in set(text.split())} | set(spaced_units(text)) if text else set()
-    out.discard("")
-    return {u for u in out if len(u) <= 32}
+def sentences(text: str | None) -> list[list[str]]:
+    """The units of each sentence that has some: runs of single letters are joined, nothing else is left out."""
+    out = []
+    for part in _SENTENCE.split(text) if text else ():
+        units = {u for u in map(unit, part.split()) if u}
+        units.update(u for u in spaced_units(part) if u)
+        if units:
+            out.append(sorted(units))
+    return out
 
 
 def _parts(u: str) -> set[str]:
@@ -214,35 +254,48 @@ def _parts(u: str) -> set[str]:
     return {edged[a : a + 4] for a in range(len(edged) - 3)}
 
 
-def fit_model(labelled: DataFrame, *, most_documents: int = 12_000, most_units: int = 6000, surprise: float = 6.0) -> Model:
-    """A model from (doc_id, text, toxic).
+def disguised(u: str) -> list[str]:
+    """A unit with a letter inserted and with one doubled, each at a place that its letters decide."""
+    code = zlib.crc32(u.encode())
+    at = 1 + code % max(1, len(u) - 1)
+    twice = code // 97 % len(u)
+    return [u[:at] + chr(97 + code // 31 % 26) + u[at:], u[: twice + 1] + u[twice:]]
+
+
+def labelled_sentences(known: DataFrame) -> DataFrame:
+    """units and toxic of each distinct sentence of (text, toxic); one that a clean document has too is clean.
 
-    Learns from about ``most_documents`` documents, drawn by a hash of the doc_id, and from the
-    ``most_units`` most telling units of each kind; nothing larger reaches the driver. Rows without
-    text or label teach nothing. Without toxic documents every score is near 0.
+    Copies of a document, and passages that many share, thus count once.
     """
-    known = labelled.where("text IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL")
-    text_batches(labelled.sparkSession)
-    total, bad = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
-    if not total or not bad:
-        return Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, [0.0, 0.0, 0.0, -20.0])
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, most_documents / total) * 1_000_003)
-    known = known.select("text", F.col("toxic").cast("int").alias("toxic"))
-    base = bad / total
+
+    def split(batches):
+        import pandas as pd
+
+        for batch in batches:
+            found: dict[str, int] = {}
+            for text, toxic in zip(batch.text, batch.toxic):
+                for units in sentences(text):
+                    key = " ".join(units)
+                    found[key] = min(found.get(key, 1), toxic)
+            yield pd.DataFrame({"units": list(found), "toxic": list(found.values())})
+        give_back()
+
+    kind = "units string, toxic int"
+    return known.mapInPandas(split, kind).groupBy(F.md5("units")).agg(F.first("units").alias("units"), F.min("toxic").alias("toxic")).select("units", "toxic")
+
+
+def _first_guess(known: DataFrame, most_units: int, surprise: float) -> tuple[list[str], list[str]]:
+    """Units that tell toxic sentences from others by how often they, or their parts, occur in them; and others."""
 
     def count(batches):
         import pandas as pd
 
         for batch in batches:
             seen: dict[tuple[bool, str], list[int]] = {}
-            for text, toxic in zip(batch.text, batch.toxic):
-                units = _units_of(text)
-                for u in units:
-                    x = seen.setdefault((False, u), [0, 0])
-                    x[0] += 1
-                    x[1] += toxic
-                for part in set().union(*map(_parts, units)) if units else ():
-                    x = seen.setdefault((True, part), [0, 0])
+            for line, toxic in zip(batch.units, batch.toxic):
+                units = line.split(" ")
+                for key in chain(zip(repeat(False), units), zip(repeat(True), set(chain.from_iterable(map(_parts, units))))):
+                    x = seen.setdefault(key, [0, 0])
                     x[0] += 1
                     x[1] += toxic
             if seen:
@@ -250,25 +303,91 @@ def fit_model(labelled: DataFrame, *, most_documents: int = 12_000, most_units:
                 yield pd.DataFrame({"is_part": [k[0] for k in own], "token": [k[1] for k in own], "n": [x[0] for x in own.values()], "t": [x[1] for x in own.values()]})
         give_back()
 
+    base = known.agg(F.avg("toxic")).first()[0] or 0.0
+    if not 0 < base < 1:
+        return [], []
     counts = known.mapInPandas(count, "is_part boolean, token string, n long, t long").groupBy("is_part", "token").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     z = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    counts = counts.withColumn("z", z).withColumn("rate", F.col("t") / F.col("n"))
-    from .common import materialize
-
-    counts = materialize(counts, "toxic-units")
-    parts = {r.token: r.z for r in counts.where(F.col("is_part") & (F.col("z") >= surprise) & (F.col("rate") >= 0.75)).orderBy(F.desc("z"), "token").limit(most_units).collect()}
+    counts = materialize(counts.withColumn("z", z).withColumn("rate", F.col("t") / F.col("n")), "toxic-units")
+    parts = [r.token for r in counts.where(F.col("is_part") & (F.col("z") >= surprise) & (F.col("rate") >= 0.75)).orderBy(F.desc("z"), "token").limit(most_units).collect()]
     units = counts.where(~F.col("is_part"))
     holds = F.exists(F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - 2, F.lit(1))), lambda i: F.substring(F.concat(F.lit("^"), "token"), i, F.lit(4))), lambda p: p.isin(*parts)) if parts else F.lit(False)
     positive = units.where((F.col("t") > 0) & (F.col("rate") >= 0.75) & ((F.col("z") >= surprise) | holds))
     positive = [r.token for r in positive.orderBy(F.desc("z"), "token").limit(most_units).collect()]
     clean = units.where("t = 0 OR rate < 0.5")
-    common = [r.token for r in clean.orderBy(F.desc("n"), "token").limit(most_units).collect()]
-    rare = [r.token for r in clean.where("t = 0").orderBy(F.xxhash64("token"), "token").limit(most_units).collect()]
+    common = [r.token for r in clean.orderBy(F.desc("n"), "token").limit(most_units // 2).collect()]
+    rare = [r.token for r in clean.where("t = 0").orderBy(F.xxhash64("token"), "token").limit(most_units // 2).collect()]
     taken = set(positive)
-    negative = [u for u in dict.fromkeys(x for pair in zip(common, rare) for x in pair) if u not in taken] if rare else [u for u in common if u not in taken]
+    return positive, [u for u in dict.fromkeys(chain.from_iterable(zip_longest(common, rare))) if u and u not in taken]
+
+
+def _witnesses(known: DataFrame, model: Model, most_units: int, step: float = 0.1) -> tuple[list[str], list[str]]:
+    """The units that decide toxic and clean sentences, the most telling of each first.
+
+    The witness of a sentence is its best unit. Those of clean sentences speak against themselves if
+    they score above -1/2. Those of toxic ones count down to the least score above which three of four
+    witnesses are of toxic sentences, at every ``step``: most sentences of a toxic document hold nothing
+    toxic, and their witnesses tell nothing.
+    """
+
+    def decide(batches):
+        import pandas as pd
+
+        for batch in batches:
+            split = [x.split(" ") for x in batch.units]
+            distinct = sorted(set(chain.from_iterable(split)))
+            if not distinct:
+                continue
+            score = dict(zip(distinct, unit_scores(distinct, model.weights, model.bias).tolist()))
+            best = [max((score[u], u) for u in units) for units in split]
+            rows = [(u, m, int(t)) for (m, u), t in zip(best, batch.toxic) if m >= -0.5]
+            yield pd.DataFrame(rows, columns=["token", "margin", "t"])
+        give_back()
+
+    found = known.mapInPandas(decide, "token string, margin double, t long").groupBy("token").agg(F.max("margin").alias("margin"), F.count("*").alias("n"), F.sum("t").alias("t"))
+    found = materialize(found, "toxic-witnesses")
+    least = math.inf
+    for r in found.groupBy(F.floor(F.col("margin") / step).alias("bin")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).orderBy(F.desc("bin")).collect():
+        if r.t < 0.75 * r.n:
+            break
+        least = r.bin * step
+    positive = found.where("t >= 0.75 * n").where(F.col("margin") >= least).orderBy(F.desc("t"), F.desc("margin"), "token").limit(most_units)
+    negative = found.where("t < 0.5 * n").orderBy(F.desc("margin"), "token").limit(most_units)
+    return [r.token for r in positive.collect()], [r.token for r in negative.collect()]
+
+
+def fit_model(labelled: DataFrame, *, most_documents: int = 12_000, most_units: int = 6000, surprise: float = 6.0, rounds: int = 3) -> Model:
+    """A model from (doc_id, text, toxic): a machine over labelled sentences, each with its document's label.
+
+    A toxic document has a toxic sentence, and a toxic sentence a toxic unit; which they are is found in
+    rounds, each of which scores all sentences, takes their best units as witnesses and fits the machine
+    to them. Learns from about ``most_documents`` documents, drawn by a hash of the doc_id, and from the
+    ``most_units`` most telling units of each kind and round; nothing larger reaches the driver. Rows
+    without text or label teach nothing. Without toxic documents every score is near 0.
+    """
+    known = labelled.where("text IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL")
+    text_batches(labelled.sparkSession)
+    total, bad = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
+    nothing = Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, [0.0, 0.0, 0.0, -20.0])
+    if not total or not bad:
+        return nothing
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, most_documents / total) * 1_000_003)
+    known = materialize(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic-sample")
+    lines = materialize(labelled_sentences(known), "toxic-sentences")
+    positive, negative = _first_guess(lines, most_units, surprise)
     if not positive or not negative:
-        return Model(np.zeros(1 << _HASH_BITS, np.float32), 0.0, [0.0, 0.0, 0.0, -20.0])
-    model = Model(*fit_svm(positive, negative), [0.0, 0.0, 0.0, 0.0])
+        return nothing
+    model = Model(*fit_svm(positive, negative), nothing.logistic)
+    for _ in range(rounds):
+        speaking, against = _witnesses(lines, model, most_units)
+        wrong = set(against)
+        positive = [u for u in dict.fromkeys([*positive, *speaking]) if u not in wrong][:most_units]
+        right = set(positive)
+        # Those that the machine got wrong lead, so that they are among the landmarks.
+        negative = [u for u in dict.fromkeys([*against, *negative]) if u not in right][: 2 * most_units]
+        if not positive:
+            return nothing
+        model = Model(*fit_svm(positive, negative), nothing.logistic)
 
     def make():
         measure = model.scorer()

@@ -77,6 +77,37 @@ def test_kernel_and_scores():
     assert k[1] > 0.5 > k[3] and k[2] > 0.4
 
 
+def test_machine_equals_explicit_features():
+    """Scores of the folded weights are those of theta over K_zz^(-1/2) K(z, s), solved apart."""
+    good, bad = ["winner", "garden", "window", "letter", "ab"], ["loser", "idiot", "moron"]
+    weights, bias = toxicity.fit_svm(bad, good, landmarks=20, c=3.0, balance=0.2, disguise=0.0)
+    marks = bad + good
+    k = np.array([[brute_kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    whiten = vectors / np.sqrt(values)
+    x = np.hstack([k @ whiten, np.ones((len(marks), 1))])
+    y = np.array([1.0] * 3 + [-1.0] * 5)
+    cost = np.where(y > 0, 3.0, 3.0)
+    theta = np.zeros(x.shape[1])
+    for _ in range(200_000):  # plain gradient descent on the same loss
+        gap = np.maximum(0, 1 - y * (x @ theta))
+        grad = np.append(2 * theta[:-1], 2e-6 * theta[-1]) - 2 * x.T @ (cost * y * gap)
+        theta -= 0.005 * grad
+    probe = ["loser", "losser", "idi0t", "winner", "gardener", "xyz"]
+    kernel = np.array([[brute_kernel(u, z) for z in marks] for u in map(toxicity.unit, probe)])
+    want = kernel @ whiten @ theta[:-1] + theta[-1]
+    assert toxicity.unit_scores([toxicity.unit(u) for u in probe], weights, bias) == pytest.approx(want, abs=2e-3)
+
+
+def test_sentences(spark):
+    assert toxicity.sentences("You idiot. I am\nl o s e r! 12 ... ") == [["idiot", "you"], ["am", "i"], ["e", "l", "loser", "o", "r", "s"]]
+    assert toxicity.sentences(None) == toxicity.sentences("") == []
+    docs = spark.createDataFrame([("A b. You idiot.", 1), ("A b.", 0), ("You idiot. You idiot.", 1)], "text string, toxic int")
+    got = {(r.units, r.toxic) for r in toxicity.labelled_sentences(docs).collect()}
+    assert got == {("a b", 0), ("idiot you", 1)}
+    assert toxicity.disguised("idiot") == toxicity.disguised("idiot") and {len(u) for u in toxicity.disguised("idiot")} == {6}
+
+
 def test_units():
     assert [toxicity.unit(x) for x in ("Loser,", "l0s3r!", "i.d.i.o.t", "***", "12", "Été.")] == ["loser", "loser", "idiot", "", "", "été"]
     assert toxicity.spaced_units("you i d i o t go a b") == ["idiot"]
