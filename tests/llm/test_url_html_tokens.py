@@ -1,5 +1,7 @@
 import io
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -53,9 +55,7 @@ with white&nbsp;space &amp; a <b>bold</b> word<br>and a break.<p>Hi.</p><ul><li>
 
 def test_main_text():
     assert html_text.main_text(PAGE).split("\n") == ["Title <1>", "First paragraph, with white space & a bold word and a break.", "Hi.", "one item of a list", "another", "The last paragraph is long enough again to be taken for content."]
-    cut = html_text.main_text(PAGE, chunk=7)
-    assert cut == html_text.main_text(PAGE)
-    assert html_text.main_text(PAGE[: PAGE.index("</footer>")]) == cut
+    assert html_text.main_text(PAGE[: PAGE.index("</footer>")]) == html_text.main_text(PAGE)
     assert [html_text.main_text(x) for x in (None, "", "<nav>a</nav>", "plain", "<p>a", "<article><p>x</p></article><p>y")] == ["", "", "", "plain", "a", "x"]
     long = html_text.main_text("<article>" + "<p>word " * 20000 + "</article>")
     assert long.count("\n") == 19999
@@ -79,6 +79,48 @@ def test_extract_keeps_rows(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+LINES = [f"Sentence {k} of the article goes on for a while, with words enough to count as text." for k in range(6)]
+ARTICLE = "<h1>Heading</h1>" + "".join(f"<p>{t}</p>" for t in LINES)
+MENU = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul>"
+
+
+def test_marks_do_not_veto_the_article():
+    want = ["Heading", *LINES]
+    for page in (
+        f'<body>{MENU}<div class="content has-sidebar">{ARTICLE}</div><div class="sidebar">Links and more</div>',
+        f'<body><nav>{MENU}</nav><article class="entry search-result-page">{ARTICLE}</article>',
+        f"<body><nav>{MENU}<article>{ARTICLE}</article><footer>Imprint</footer>",
+        f"<body><nav>{MENU}{ARTICLE}",
+        f"<body><ul><li class=menu><a href=a>Home</a><li class=menu><a href=b>News</a><div>{ARTICLE}</div>",
+        f"<body><div class=sidebar>{ARTICLE}</div>",
+        f"<body>{ARTICLE}<section id=comments>" + "".join(f"<div class=comment><p>I, reader {k}, say what I think of it here, and at length.</p></div>" for k in range(3)) + "</section>",
+    ):
+        assert html_text.main_text(page).split("\n") == want, page[:60]
+    inner = html_text.main_text('<article><p>Some text<script>var x = "<p>";</script> of a <span class="share">Share</span>block<button>ok</button>.<p hidden>no</article>')
+    assert inner == "Some text of a block."
+
+
+def test_the_method_selects():
+    """Without its threshold the text is another one; the smoothing is that of its definition."""
+    page = f"<body><nav>{MENU}</nav><div class=ad>Buy this now</div><div><article>{ARTICLE}{MENU}</article></div><footer>Imprint</footer>"
+    assert html_text.main_text(page).split("\n") == ["Heading", *LINES]
+    assert {"Home", "Imprint", "Buy this now"} & set(html_text.main_text(page, threshold=-1, part=2).split("\n")) == {"Home", "Imprint", "Buy this now"}
+    plain = f"<body>{MENU}<div>{ARTICLE}</div>{MENU}"
+    assert html_text.main_text(plain).split("\n") == ["Heading", *LINES] != html_text.main_text(plain, threshold=-1).split("\n")
+    rng = random.Random(2)
+    ratios = [rng.random() * 100 for _ in range(40)]
+    weight = lambda d: math.exp(-d * d / 4.5) if abs(d) <= 3 else 0.0
+    want = [sum(weight(i - j) * r for j, r in enumerate(ratios)) / sum(weight(i - j) for j in range(40)) for i in range(40)]
+    assert html_text.smooth(ratios, 1.5) == pytest.approx(want)
+
+
+def test_deep_and_unclosed_pages_are_linear():
+    for piece in ("<div>x", "<p>x<b>", "</div>x", "<li>x", "<ul><li>x", "<a href=x>", "<table><tr><td>x", "<nav>x", "<span class=ad>x", "&amp;<br>"):
+        began = time.perf_counter()
+        html_text.main_text(piece * (400_000 // len(piece)))
+        assert time.perf_counter() - began < 6, piece
+
+
 def test_words():
     assert words("Ab-1É x_y\u00a0z") == ["ab".encode(), b"1\xc3\x89", b"x", b"y\xc2\xa0z"] and words(None) == words("") == []
 
