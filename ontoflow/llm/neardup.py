@@ -2,7 +2,9 @@
 
 A text is the weighted set of its shingles of five words; a weight is (1 + ln tf) times a smoothed
 idf. Document frequencies of the whole corpus are kept in a sketch of fixed size: counts by hash,
-less the noise that other shingles bring to a cell on average. Improved consistent weighted sampling
+less the noise that other shingles bring to a cell on average. A cell's noise is a share of the
+documents that doesn't grow with the corpus (a text of 600 shingles brings 0.06 % of one to each of
+2^20 cells), far below the tenth from which a frequency lowers a weight. Improved consistent weighted sampling
 draws samples that two texts share with the probability of their weighted Jaccard similarity; bands of
 samples make buckets.
 
@@ -30,10 +32,11 @@ from .common import claim, give_back, map_texts, materialize, text_batches, word
 class Settings:
     size: int = 5  # words in a shingle
     threshold: float = 0.8
-    bands: int = 8
+    bands: int = 12
     rows: int = 3  # samples in a band
     cells_log2: int = 20  # of the frequency sketch
-    rare: float = 0.01  # shingles in a smaller share of documents than this all have the largest idf
+    rare: float = 0.1  # shingles in a smaller share of documents than this all have the largest idf
+    unseen: int = 10_000  # documents that are taken to exist beside the corpus, so that a small one's copies don't weigh less
     likely: float = 0.5  # share of samples that makes a pair worth verifying inside a block
     block: int = 1000  # texts in a block
     hubs: int = 4  # texts of a block whose likely pairs are verified in the first round; in the next, eight times as many
@@ -88,7 +91,7 @@ class Frequencies:
         noise = (total - cells) / max(1, len(cells) - 1)
         often = np.maximum(1.0, cells - noise)
         most = 1 / settings.rare
-        share = np.clip(documents / often, 1.0, most)
+        share = np.clip((documents + settings.unseen) / often, 1.0, most)
         self.weights = (1 + np.log(share) / np.log(most)).astype(np.float32)
 
     def weigh(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -136,7 +139,12 @@ def count_frequencies(documents: DataFrame, settings: Settings) -> Frequencies:
 
 
 class Sampler:
-    """Improved consistent weighted samples; the random variables of a shingle come from tables."""
+    """Improved consistent weighted samples; the random variables of a shingle come from tables.
+
+    Shingles that share a table's entry share its variables, in both texts of a pair alike; only the
+    heaviest of them can be drawn, so that texts of far more than 65,536 shingles are compared by a
+    part of them. Every pair is verified by all shingles.
+    """
 
     def __init__(self, settings: Settings, table_log2: int = 16):
         rng = np.random.default_rng(settings.seed)
@@ -147,6 +155,13 @@ class Sampler:
         self.odd = (rng.integers(0, 1 << 63, settings.samples, np.uint64) << np.uint64(1)) | np.uint64(1)
         self.shift = np.uint64(64 - table_log2)
         self.settings = settings
+        #: Most shingles occur once and are rare: what the formulas give for their weight is looked up.
+        self.usual = np.float32(np.log(np.float32(2)))
+        self.usual_log_a = self._log_a(self.usual, self.r, self.log_c, self.beta)
+
+    @staticmethod
+    def _log_a(log_s, r, log_c, beta):
+        return log_c - r * (np.floor(log_s / r + beta) - beta + np.float32(1))
 
     def samples(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """A row of sample hashes for each non-empty weighted set (hashes ascending, weights)."""
@@ -154,17 +169,18 @@ class Sampler:
         log_s = np.log(np.concatenate([w for _, w in sets])).astype(np.float32)
         sizes = np.array([len(h) for h, _ in sets])
         starts = np.cumsum(sizes) - sizes
-        of = np.repeat(np.arange(len(sets)), sizes)
+        other = np.flatnonzero(log_s != self.usual)
         out = np.empty((len(sets), self.settings.samples), np.uint64)
         for i in range(self.settings.samples):
-            at = ((hashes * self.odd[i]) >> self.shift).astype(np.int64)
-            r, beta = self.r[i, at], self.beta[i, at]
-            t = np.floor(log_s / r + beta)
-            log_a = self.log_c[i, at] - r * (t - beta + 1)
-            least = np.minimum.reduceat(log_a, starts)
-            hit = np.flatnonzero(log_a == least[of])
-            first = hit[np.concatenate([[True], of[hit[1:]] != of[hit[:-1]]])]
-            out[:, i] = _mix(hashes[first] + t[first].astype(np.int64).astype(np.uint64) * _STEP)
+            at = ((hashes * self.odd[i]) >> self.shift).astype(np.int32)
+            log_a = self.usual_log_a[i].take(at)
+            few = at[other]
+            log_a[other] = self._log_a(log_s[other], self.r[i, few], self.log_c[i, few], self.beta[i, few])
+            hit = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, starts), sizes))
+            of = np.searchsorted(starts, hit, "right")
+            first = hit[np.concatenate([[True], of[1:] != of[:-1]])]
+            t = np.floor(log_s[first] / self.r[i, at[first]] + self.beta[i, at[first]])
+            out[:, i] = _mix(hashes[first] + t.astype(np.int64).astype(np.uint64) * _STEP)
         return out
 
     def buckets(self, samples: np.ndarray) -> np.ndarray:
@@ -361,12 +377,16 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
         hubs *= 8
 
 
+#: Copies of a text that meet its class in one task; more are dealt to several.
+_COPIES = 1000
+
+
 def _text_classes(documents: DataFrame, settings: Settings) -> DataFrame:
-    """(_key, class_id) of every distinct non-null text, and the key the class goes by."""
+    """(_key, _class, _first, _n) of every distinct non-null text: the key its class goes by, smallest doc_id, copies."""
     from_text = near_duplicate_classes(documents, settings)
-    texts = documents.where("text IS NOT NULL").groupBy(F.md5("text").alias("_key")).agg(F.min("doc_id").alias("_first"))
+    texts = documents.where("text IS NOT NULL").groupBy(F.md5("text").alias("_key")).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
     texts = texts.join(from_text, "_key", "left").withColumn("_class", F.coalesce("_class", "_key"))
-    return texts.select("_key", "_class", "_first")
+    return texts.select("_key", "_class", "_first", "_n")
 
 
 def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -375,27 +395,35 @@ def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
     Equal texts are a class, and so are texts that chains of links of weighted Jaccard similarity
     ``threshold`` or more join. A text that is null or has no words is a class of its own unless it
     equals another non-null text. Rows with a null doc_id get their class's id, if any doc_id is known.
+    Rows that repeat are each returned, an empty table gives none, and other columns aren't read.
+    Copies of one text are dealt to several tasks where they are many, each with its text's class.
     """
     texts = materialize(_text_classes(documents, settings), "text-classes")
     named = texts.groupBy("_class").agg(F.min("_first").alias("class_id"))
-    by_text = texts.join(named, "_class").select("_key", "class_id")
-    rows = documents.select("doc_id", F.md5("text").alias("_key"))
-    return rows.join(by_text, "_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    parts = F.ceil(F.col("_n") / _COPIES).cast("int")
+    by_text = texts.join(named, "_class").select("_key", "class_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    # Written first: while texts with so many copies are few, the planner sees its size and broadcasts it.
+    often = materialize(texts.where(F.col("_n") > _COPIES).select("_key", parts.alias("_parts")), "often")
+    rows = documents.select("doc_id", F.md5("text").alias("_key")).join(often, "_key", "left")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    return rows.join(by_text, ["_key", "_part"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``documents``, all columns, one for each class: that of the smallest doc_id.
 
     A class in which no doc_id is known keeps the row of its smallest text key. Of rows that repeat
-    one doc_id and text, one stays. Rows with a null text all stay.
+    one doc_id and text, one stays. Rows with a null text all stay; an empty table stays empty. Columns
+    may have any name.
     """
     texts = materialize(_text_classes(documents, settings), "text-classes")
     # Null ids come last: a struct orders by its first field, and false is less than true.
     first = texts.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("n"), F.col("_first").alias("i"), F.col("_key").alias("k"))).alias("m"))
-    kept = first.select(F.col("m.k").alias("_kept_key"), F.col("m.i").alias("_kept_id"))
-    rows = documents.withColumn("_kept_key", F.md5("text"))
-    chosen = rows.join(kept, "_kept_key").where(F.col("doc_id").eqNullSafe(F.col("_kept_id"))).dropDuplicates(["_kept_key"])
-    return chosen.select(*documents.columns).union(documents.where("text IS NULL"))
+    kept = first.select(F.col("m.k").alias("k"), F.col("m.i").alias("i"))
+    rows = documents.where("text IS NOT NULL").select(F.md5("text").alias("k"), F.col("doc_id").alias("i"), F.struct(*[documents[c] for c in documents.columns]).alias("row"))
+    # By id as well, so that the copies of a text aren't brought to one task.
+    chosen = rows.join(kept, (rows.k == kept.k) & rows.i.eqNullSafe(kept.i)).select(rows.k, "row").dropDuplicates(["k"])
+    return chosen.select("row.*").union(documents.where("text IS NULL"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,34 @@ def test_copies_of_one_original_meet_it_past_the_first_text(spark):
     assert sorted(map(len, signed.values())) == [11, 11, 11]
 
 
+def test_chains_keep_every_link(spark):
+    """Neighbours of a chain are just over the threshold, those after them under it."""
+    rng = random.Random(4)
+    rows, words_in = [], 300
+    for c in range(8):
+        w = [f"c{c}w{i}" for i in range(words_in)]
+        for k in range(20):
+            rows.append((len(rows), " ".join(w)))
+            for n, at in enumerate(rng.sample(range(4, words_in - 4, 6), 6)):
+                w[at] = f"c{c}k{k}e{n}"
+    rng.shuffle(rows)
+    sets = {i: frozenset(zip(*[t.split()[a:] for a in range(5)])) for i, t in rows}
+    alike = [len(sets[i] & sets[i + d]) / len(sets[i] | sets[i + d]) for d in (1, 2) for i in range(160 - d) if i // 20 == (i + d) // 20]
+    assert sum(x >= 0.8 for x in alike) == 8 * 19 and max(x for x in alike if x < 0.8) < 0.75
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in neardup.classify(docs).collect()}
+    assert got == {i: i // 20 * 20 for i, _ in rows}
+
+
+def test_any_column_name_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_COPIES", 3)
+    rows = [(i, "one text of some words that many have", i, "a") for i in range(20)] + [(30, "another text of five words", 0, "b"), (31, None, 0, "c"), (31, None, 0, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept_id long, _key string")
+    assert sorted((r.doc_id, r.class_id) for r in neardup.classify(docs).collect()) == [*((i, 0) for i in range(20)), (30, 30), (31, 31), (31, 31)]
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == [rows[0], rows[20], rows[21], rows[22]]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "x"), ("y", "z")], "a string, b string")
     got = {r.node: r.label for r in neardup.components(edges).collect()}
