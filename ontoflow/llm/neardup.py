@@ -9,11 +9,11 @@ draws samples that two texts share with the probability of their weighted Jaccar
 samples make buckets.
 
 In each bucket every text meets the bucket's first text, and the pair is verified by its exact
-weighted Jaccard similarity. What isn't like the first text meets its own kind and what is, in blocks:
-samples are compared all with all inside a task, and the likely pairs of a few texts, those with the
-most, go on to be verified. Rounds with ever more such texts follow, over what isn't joined by then,
-until every likely pair is verified or inside a class. Verified links are joined to classes by label propagation. No step makes all pairs of a
-bucket, and none needs a bucket in one task.
+weighted Jaccard similarity. Texts that aren't joined with the first one then meet each other and those
+that are, in blocks of two parts of a bucket: in a task, samples are compared all with all, and likely
+pairs, each in the first bucket that it shares, are verified where they are, those with the most
+likely pairs first and only while they aren't joined. A block returns the links that join something,
+fewer than it has texts: pairs are counted, never emitted. Links make classes by label propagation.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ class Settings:
     cells_log2: int = 20  # of the frequency sketch
     rare: float = 0.1  # shingles in a smaller share of documents than this all have the largest idf
     unseen: int = 10_000  # documents that are taken to exist beside the corpus, so that a small one's copies don't weigh less
-    likely: float = 0.5  # share of samples that makes a pair worth verifying inside a block
-    block: int = 1000  # texts in a block
-    hubs: int = 4  # texts of a block whose likely pairs are verified in the first round; in the next, eight times as many
+    likely: float = 0.55  # share of samples that makes a pair worth verifying inside a block
+    block: int = 1000  # texts in a part of a bucket; a block holds two
+    shingles: int = 1_000_000  # in a part, on average
     seed: int = 20
 
     @property
@@ -200,7 +200,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signatures(documents: DataFrame, shared, settings: Settings) -> DataFrame:
-    """key (of the text), buckets and samples of every row with words."""
+    """key (of the text), buckets, samples and number of shingles of every text with words."""
 
     def make():
         sampler, frequencies = Sampler(settings), shared.value
@@ -210,16 +210,17 @@ def _signatures(documents: DataFrame, shared, settings: Settings) -> DataFrame:
             some = [k for k, (h, _) in enumerate(sets) if len(h)]
             buckets: list = [None] * len(texts)
             samples: list = [None] * len(texts)
+            sizes = [len(h) for h, _ in sets]
             if some:
                 drawn = sampler.samples([sets[k] for k in some])
                 for k, b, s in zip(some, sampler.buckets(drawn).view(np.int64).tolist(), (drawn >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()):
                     buckets[k], samples[k] = b, s
-            return buckets, samples
+            return buckets, samples, sizes
 
         return compute
 
     rows = documents.where("text IS NOT NULL").withColumn("_key", F.md5("text"))
-    return map_texts(rows, ["_key"], [("buckets", "array<bigint>"), ("samples", "array<int>")], make, owner="neardup", kept=(_HASHES,)).where("buckets IS NOT NULL").dropDuplicates(["_key"])
+    return map_texts(rows, ["_key"], [("buckets", "array<bigint>"), ("samples", "array<int>"), ("size", "long")], make, owner="neardup", kept=(_HASHES,)).where("buckets IS NOT NULL").dropDuplicates(["_key"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared, settings: Settings) -> DataFrame:
@@ -251,70 +252,84 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, settings: Settings) ->
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string, similar boolean")
 
 
-def _likely_pairs(rows: DataFrame, settings: Settings, hubs: int = 0) -> DataFrame:
-    """(a, b, bucket, rest) likely alike in the same bucket, by samples, and not joined already.
+def _blocks(rows: DataFrame, settings: Settings) -> DataFrame:
+    """``rows`` (bucket, key, apart, size, ...) with part and block (i, j): pairs of parts of their bucket.
 
-    In each block the pairs of the ``hubs`` texts that have the most and likeliest are given, or all;
-    ``rest`` tells whether the block has more. ``rows`` has bucket, key and samples, and may have label,
-    equal for texts that are joined already, and apart, false for texts that are all joined with each
-    other: no block is made of those alone.
+    Rows that aren't apart are all joined with each other: no block is made of those alone.
     """
-    if "label" not in rows.columns:
-        rows = rows.withColumn("label", F.col("key"))
-    if "apart" not in rows.columns:
-        rows = rows.withColumn("apart", F.lit(True))
-    counts = rows.groupBy("bucket").agg(F.count_if("apart").alias("n"), F.count_if(~F.col("apart")).alias("m")).where("n > 0 AND n + m > 1")
-    sized = rows.join(counts, "bucket")
-    whole = F.col("n") + F.col("m") <= settings.block
+    sums = [F.count_if("apart").alias("n"), F.count_if(~F.col("apart")).alias("m"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("ns"), F.sum(F.when(F.col("apart"), 0).otherwise(F.col("size"))).alias("ms")]
+    sized = rows.join(rows.groupBy("bucket").agg(*sums).where("n > 0 AND n + m > 1"), "bucket")
+    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / settings.block), F.ceil(F.col(size) / settings.shingles)).cast("int")
+    whole = (F.col("n") + F.col("m") <= settings.block) & (F.col("ns") + F.col("ms") <= settings.shingles)
     here = whole | F.col("apart")
-    parts = F.when(whole, 1).otherwise(F.ceil(F.col("n") / settings.block)).cast("int")
-    others = F.when(whole, 0).otherwise(F.ceil(F.col("m") / settings.block)).cast("int")
-    own = F.when(here, F.pmod(F.xxhash64("key"), parts)).otherwise(parts + F.pmod(F.xxhash64("key"), F.greatest(others, F.lit(1)))).cast("int")
-    # A pair of parts is a block; a row goes to all blocks of its part.
-    ends = F.sequence(F.lit(0), F.when(here, parts + others).otherwise(parts) - 1)
-    sized = sized.withColumn("part", own).withColumn("ends", ends)
-    blocks = F.transform("ends", lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    wide = sized.select("bucket", "key", "label", "samples", "part", F.explode(blocks).alias("block"))
-
-    def pick(table):
-        import pandas as pd
-
-        bucket = table.bucket.iloc[0]
+    own, others = F.when(whole, 1).otherwise(parts("n", "ns")), F.when(whole, 0).otherwise(parts("m", "ms"))
+    part = F.when(here, F.pmod(F.xxhash64("key"), own)).otherwise(own + F.pmod(F.xxhash64("key"), F.greatest(others, F.lit(1)))).cast("int")
+    sized = sized.withColumn("part", part).withColumn("ends", F.sequence(F.lit(0), F.when(here, own + others).otherwise(own) - 1))
+    pair = F.transform("ends", lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    return sized.withColumn("block", F.explode(pair)).drop("n", "m", "ns", "ms", "ends")
+
+
+class _Block:
+    """The texts of a block, and which of them are likely alike and meet here first."""
+
+    def __init__(self, table, settings: Settings):
         table = table.drop_duplicates("key").sort_values("key")
-        keys, s, part = np.array(table.key.tolist(), object), np.stack(table.samples.to_numpy()), table.part.to_numpy()
-        label = np.unique(table.label.to_numpy(), return_inverse=True)[1]
-        two, n, least = part.min() < part.max(), len(keys), settings.likely * settings.samples
-
-        def likely(k):
-            open_ = label != label[k]
-            if two:
-                open_ &= part != part[k]
-            other = np.flatnonzero(open_)
-            agree = (s[other] == s[k]).sum(1)
-            return other[agree >= least], agree[agree >= least]
-
-        # Likelier pairs weigh more: the text that many were made from goes before those.
-        weight = np.zeros(n)
-        some = 0
-        for k in range(n):
-            other, agree = likely(k)
-            some += len(other)
-            weight[k] = ((agree - least + 1.0) ** 2).sum()
-        chosen = np.argsort(-weight, kind="stable")[: hubs or n]
-        used, given = np.zeros(n, bool), 0
-        a, b = [], []
-        for k in chosen[weight[chosen] > 0].tolist():
-            other, _ = likely(k)
-            other = other[~used[other]]
-            used[k] = True
-            given += len(other)
-            a.append(np.minimum(other, k))
-            b.append(np.maximum(other, k))
-        first, second = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": keys[first], "b": keys[second], "bucket": [bucket] * given, "rest": [2 * given < some] * given}, dtype=object)
-
-    kind = f"a string, b string, bucket {rows.schema['bucket'].dataType.simpleString()}, rest boolean"
-    return wide.groupBy("bucket", "block").applyInPandas(lambda t: pick(t), kind)
+        self.table, self.n = table, len(table)
+        self.samples, self.buckets, self.part = np.stack(table.samples.to_numpy()), np.stack(table.buckets.to_numpy()), table.part.to_numpy()
+        self.band = int(np.flatnonzero(self.buckets[0] == table.bucket.iloc[0])[0])
+        self.two = self.part.min() < self.part.max()
+        self.root = np.unique(table.label.to_numpy(), return_inverse=True)[1]
+        self.least = settings.likely * settings.samples
+
+    def likely(self, k: int) -> np.ndarray:
+        """The texts that aren't joined with text k, are likely alike, and share no earlier bucket with it."""
+        open_ = self.root != self.root[k]
+        if self.two:
+            open_ &= self.part != self.part[k]
+        other = np.flatnonzero(open_)
+        other = other[(self.samples[other] == self.samples[k]).sum(1) >= self.least]
+        if self.band and len(other):
+            other = other[~(self.buckets[other, : self.band] == self.buckets[k, : self.band]).any(1)]
+        return other
+
+    def join(self, a: int, b: int) -> None:
+        self.root[self.root == self.root[b]] = self.root[a]
+
+
+def _some_likely(table, settings: Settings):
+    """The texts of a block that have a likely pair in it: bucket, block, key."""
+    block = _Block(table, settings)
+    return block.table[[len(block.likely(k)) > 0 for k in range(block.n)]][["bucket", "block", "key"]]
+
+
+def _joining_links(table, weigh, settings: Settings):
+    """(a, b): similar texts of a block that join what isn't joined; ``table`` has their texts."""
+    import pandas as pd
+
+    block = _Block(table, settings)
+    sets = [shingles(t, settings.size) for t in block.table.text]
+    weights = [weigh(h, n).astype(np.float64) for h, n in sets]
+    sizes = np.array([len(h) for h, _ in sets])
+    codes = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)[1]
+    codes = np.split(codes, np.cumsum(sizes)[:-1])
+    total = np.array([w.sum() for w in weights])
+    dense = np.zeros(max(int(c.max()) for c in codes) + 1)
+    keys = block.table.key.tolist()
+    links = []
+    # The text that many were made from goes before those: it joins them at once.
+    for k in np.argsort([-len(block.likely(k)) for k in range(block.n)], kind="stable").tolist():
+        other = block.likely(k)
+        if not len(other):
+            continue
+        dense[codes[k]] = weights[k]
+        shared = np.minimum(dense[np.concatenate([codes[o] for o in other])], np.concatenate([weights[o] for o in other]))
+        shared = np.add.reduceat(shared, np.cumsum(sizes[other]) - sizes[other])
+        dense[codes[k]] = 0
+        for o in other[shared >= settings.threshold * (total[k] + total[other] - shared)].tolist():
+            if block.root[o] != block.root[k]:
+                block.join(k, o)
+                links.append((keys[k], keys[o]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=object)
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -351,30 +366,26 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     texts = materialize(texts, "texts")
     first = materialize(_verified(pairs, texts, shared, settings), "verified")
     links = first.where("similar").select("a", "b")
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     classes = components(links, "classes")
-    members = met.union(met.select("bucket", "leader", "leader").distinct())
-    samples = signed.select(F.col("_key").alias("key"), "samples")
-    hubs = settings.hubs
-    while True:
-        rows = members.join(classes.toDF("key", "label"), "key", "left").join(classes.toDF("leader", "first"), "leader", "left")
-        rows = rows.select("bucket", "key", "leader", F.coalesce("label", "key").alias("label"), F.coalesce("first", "leader").alias("first"))
-        rows = rows.withColumn("apart", F.col("label") != F.col("first")).drop("first")
-        some = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("m > 0 AND n > 2").select("bucket")
-        rows = materialize(rows.join(some, "bucket", "left_semi"), "apart")
-        # A block has two parts: with as many hubs all its pairs are given, and nothing rests.
-        found = materialize(_likely_pairs(rows.join(samples, "key"), settings, hubs), "likely-pairs")
-        more = materialize(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            verified = _verified(more, texts, shared, settings).where("similar").select("a", "b")
-            links = materialize(links.union(verified), "links")
-            done = materialize(done.union(more), "done")
-            classes = components(links, "classes")
-        again = found.where("rest").select("bucket").distinct()
-        if again.isEmpty():
-            return classes.toDF("_key", "_class")
-        members = rows.join(again, "bucket", "left_semi").select("bucket", "key", "leader")
-        hubs *= 8
+    # First texts have met their buckets. A bucket in which all are joined with its first has no open pair.
+    rows = met.join(classes.toDF("key", "label"), "key", "left").join(classes.toDF("leader", "first"), "leader", "left")
+    rows = rows.select("bucket", "key", F.coalesce("label", "key").alias("label"), F.coalesce("first", "leader").alias("first"))
+    rows = materialize(rows.select("bucket", "key", "label", (F.col("label") != F.col("first")).alias("apart")), "members-labels")
+    open_ = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("m > 0 AND n > 1").select("bucket")
+    signs = signed.select(F.col("_key").alias("key"), "samples", "buckets", "size")
+    wide = materialize(_blocks(rows.join(open_, "bucket", "left_semi").join(signs, "key"), settings), "blocks")
+    kind = f"bucket bigint, block {wide.schema['block'].dataType.simpleString()}, key string"
+    chosen = materialize(wide.groupBy("bucket", "block").applyInPandas(lambda t: _some_likely(t, settings), kind), "likely")
+
+    def verify(table):
+        claim("neardup", _HASHES)
+        return _joining_links(table, shared.value.weigh, settings)
+
+    held = wide.join(chosen, ["bucket", "block", "key"], "left_semi").join(texts.toDF("key", "text"), "key")
+    more = materialize(held.groupBy("bucket", "block").applyInPandas(verify, "a string, b string"), "more-links")
+    if not more.isEmpty():
+        classes = components(links.union(more), "classes")
+    return classes.toDF("_key", "_class")
 
 
 #: Copies of a text that meet its class in one task; more are dealt to several.

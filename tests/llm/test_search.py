@@ -203,14 +203,34 @@ def test_samples_match_weighted_jaccard():
     assert abs((drawn[0] == drawn[1]).mean() - neardup.similarity(x, y)) < 0.08
 
 
-def test_unlike_members_of_a_bucket_meet_each_other(spark):
+@pytest.mark.parametrize("block", [1000, 8])
+def test_blocks_find_every_link_between_what_is_not_joined(spark, block):
+    """All pairs of a bucket meet in some block, but for those joined already or met in an earlier bucket."""
+    import pandas as pd
+
+    settings = neardup.Settings(block=block, bands=2, rows=3)
     rng = random.Random(1)
-    rows = [("b", f"k{i:03d}", [rng.randrange(10**6) for _ in range(24)]) for i in range(30)]
-    rows += [("b", "z1", rows[4][2][:20] + [1, 2, 3, 4]), ("b", "z2", rows[4][2][:18] + [9] * 6)]
-    df = spark.createDataFrame(rows, "bucket string, key string, samples array<int>")
-    for block in (1000, 8):
-        got = {(r.a, r.b) for r in neardup._likely_pairs(df, neardup.Settings(block=block)).collect()}
-        assert len({("k004", "z1"), ("k004", "z2"), ("z1", "z2")} & got) >= 2 and all({a, b} <= {"k004", "z1", "z2"} for a, b in got)
+    texts = {f"k{i:03d}": text_of(rng, 40) for i in range(30)}
+    for name, edits in (("z1", 1), ("z2", 2), ("z3", 1)):
+        w = texts["k004" if name != "z3" else "k009"].split()
+        texts[name] = " ".join(w[: 40 - edits])
+    sign = {k: [rng.randrange(10**6) for _ in range(6)] for k in texts}
+    sign |= {"z1": sign["k004"], "z2": sign["k004"], "z3": sign["k009"]}
+    label = {k: "all" if k < "k003" else k for k in texts}
+    rows = [(7, k, label[k], label[k] != "all", 36, sign[k], [7, 9 + i]) for i, k in enumerate(texts)]
+    kind = "bucket long, key string, label string, apart boolean, size long, samples array<int>, buckets array<bigint>"
+    wide = neardup._blocks(spark.createDataFrame(rows, kind), settings).toPandas()
+    wide["block"] = [tuple(x) for x in wide.block]
+    found = [neardup._some_likely(t, settings) for _, t in wide.groupby("block")]
+    assert set(pd.concat(found).key) == {"k004", "z1", "z2", "k009", "z3"}
+    wide["text"] = wide.key.map(texts)
+    weigh = lambda h, n: np.ones(len(h), np.float32)
+    links = pd.concat([neardup._joining_links(t, weigh, settings) for _, t in wide.groupby("block")])
+    got = {frozenset(x) for x in links.itertuples(index=False)}
+    assert frozenset(("k009", "z3")) in got and got - {frozenset(("k009", "z3"))} <= {frozenset(x) for x in (("k004", "z1"), ("k004", "z2"), ("z1", "z2"))}
+    assert len(got) == 3 if block == 1000 else len(got) >= 3
+    wide["buckets"] = [[5, 7]] * len(wide)  # all share an earlier bucket, where they meet
+    assert not sum(len(neardup._some_likely(t, settings)) for _, t in wide.groupby("block"))
 
 
 def edited_copies(originals, copies, edits, words_in=300):
