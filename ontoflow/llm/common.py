@@ -18,7 +18,7 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 
-__all__ = ["ChunkTokenizer", "claim", "give_back", "map_texts", "materialize", "read", "shared_dir", "text_batches", "tokenizer", "vocabulary_path", "words"]
+__all__ = ["ChunkTokenizer", "claim", "give_back", "map_texts", "materialize", "read", "shared_dir", "slices", "text_batches", "tokenizer", "vocabulary_path", "words"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,18 +36,19 @@ def words(text: str | None) -> list[bytes]:
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts, many at once.
 
     The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those
-    of its space-separated chunks in a row. Chunks not met before go through the tokenizers library,
-    many in one call, and are remembered. A chunk of Latin letters and one full stop or comma has the
-    ids of its lower-case letters and of the mark, as the vocabulary splits and lower-cases them too;
-    such letters need no normalizer, and their last id is one that ends a word.
-    At ``limit`` chunks the first ``limit // 3``, frequent words among them, stay; long chunks are
-    never remembered.
+    of its space-separated chunks in a row. Arrow cuts the texts of a batch and numbers their distinct
+    chunks; those not met before go through the tokenizers library, many in one call, and are
+    remembered in one array, from which all ids of the batch are then taken at once. A chunk of Latin
+    letters and one full stop or comma has the ids of its lower-case letters and of the mark, as the
+    vocabulary splits and lower-cases them too; such letters need no normalizer, and their last id is
+    one that ends a word. At ``limit`` chunks the first ``limit // 3``, frequent words among them,
+    stay; long chunks are never remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 800_000, longest: int = 48, piece: int = 4_000_000):
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -58,84 +59,154 @@ class ChunkTokenizer:
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._known: dict[str, bytes] = {"": b""}
-        self._limit, self._longest = limit, longest
-        self._frequent: dict[str, bytes] = {}
-        self._counts: Counter | None = Counter()
-        self._counted = 0
-        self._known.update(zip((".", ","), self._encode([".", ","])))
+        self._limit, self._longest, self._piece = limit, longest, piece
+        self._known: dict[str, int] = {}  # chunk: its number
+        self._ids = np.zeros(1 << 16, "<u4")
+        self._starts = np.zeros(1 << 14, np.int64)  # of each number's ids; the next one's start is their end
+        self._marks: dict[str, bytes] = dict(zip(("", ".", ","), (b"", *self._encode([".", ","]))))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null has none."""
-        out = []
-        for a in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[a : a + 64]]
-            if self._counts is not None:
-                self._find_frequent(split)
-            frequent, get = self._frequent.get, self._known.get
-            found = [list(map(frequent, chunks)) for chunks in split]
-            lacking = [[k for k, v in enumerate(own) if v is None] for own in found]
-            new: set[str] = set()
-            for chunks, own, places in zip(split, found, lacking):
-                for k in places:
-                    if (v := get(chunks[k])) is None:
-                        new.add(chunks[k])
-                    else:
-                        own[k] = v
-            if new:
-                if len(self._known) + len(new) > self._limit:
-                    self._known = dict(islice(self._known.items(), self._limit // 3))
-                self._learn(new)
-                known = self._known
-                for chunks, own, places in zip(split, found, lacking):
-                    for k in places:
-                        if own[k] is None:
-                            own[k] = known[chunks[k]]
-                for chunk in new:
-                    if len(chunk) > self._longest:
-                        del known[chunk]
-            out += map(b"".join, found)
-        return out
-
-    def _find_frequent(self, split: list[list[str]], texts: int = 3000, most: int = 20_000) -> None:
-        """Counts chunks in the first texts; the most frequent get a table that fits a processor's cache."""
-        for chunks in split:
-            self._counts.update(chunks)
-        self._counted += len(split)
-        if self._counted >= texts:
-            self._frequent = {c: self._known[c] for c, _ in self._counts.most_common(most) if c in self._known}
-            self._counts = None
-
-    def _learn(self, new: set[str]) -> None:
-        known, plain, other = self._known, {}, []
-        for c in new:
-            mark = c[-1] if c[-1] in ".," else ""
-            letters = c[:-1] if mark else c
-            low = letters.lower()
-            if low.isalpha() and (low.isascii() or max(letters) < "\u0250"):
-                plain[c] = low, mark
+        """The ids of each text as little-endian unsigned 32-bit bytes; null has none."""
+        import pyarrow as pa
+
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), (ends * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode(self, texts) -> tuple:
+        """(ids of all texts of an Arrow array in a row, end of each text's): null has none.
+
+        Works on pieces of about ``piece`` bytes, at least a text each; a longer text is cut at white space.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        done, ends, k = [], [], 0
+        while k < len(texts):
+            upto = max(k + 1, int(np.searchsorted(np.cumsum(sizes[k:]), self._piece, "right")) + k)
+            if upto == k + 1 and sizes[k] > self._piece:
+                parts = [self._encode_piece(pa.array([x]))[0] for x in _cut(texts[k].as_py(), self._piece)]
+                done += parts
+                ends.append(np.array([sum(map(len, parts))], np.int64))
             else:
-                other.append(c)
-        wanted = list({low for low, _ in plain.values()}.difference(known))
-        known.update(zip(other, self._encode(other)))
-        known.update(zip(wanted, self._encode_plain(wanted)))
-        for c, (low, mark) in plain.items():
-            known[c] = known[low] + known[mark]
-        for low in set(wanted).difference(new):
-            if len(low) > self._longest:
-                del known[low]
-
-    def _encode_plain(self, chunks: list[str]) -> list[bytes]:
+                ids, own = self._encode_piece(texts.slice(k, upto - k))
+                done.append(ids)
+                ends.append(own)
+            k = upto
+        if not done:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        base = 0
+        for own in ends:
+            own += base
+            base = int(own[-1])
+        return np.concatenate(done), np.concatenate(ends)
+
+    def _encode_piece(self, texts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = split.flatten().dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        found = list(map(self._known.get, names))
+        if lacking := [k for k, v in enumerate(found) if v is None]:
+            new = [names[k] for k in lacking]
+            if len(self._known) + len(new) > self._limit:
+                self._known = dict(islice(self._known.items(), self._limit // 3))
+                found = list(map(self._known.get, names))
+                lacking = [k for k, v in enumerate(found) if v is None]
+                new = [names[k] for k in lacking]
+            first = len(self._known)
+            self._learn(first, chunks.dictionary.take(pa.array(lacking)))
+            for n, k in enumerate(lacking, first):
+                found[k] = n
+            long = [c for c in new if len(c) > self._longest]
+            if not long:
+                self._known.update(zip(new, range(first, first + len(new))))
+        numbers = np.array(found, np.int64)
+        starts = self._starts[numbers].astype(np.int32)  # a piece and what is remembered are far below 2^31 ids
+        at = chunks.indices.to_numpy()
+        size = (self._starts[numbers + 1].astype(np.int32) - starts)[at]
+        ends = np.cumsum(size, dtype=np.int32)
+        places = np.repeat(starts[at] - ends + size, size)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = self._ids.take(places)
+        if lacking and long:
+            # Numbers go by order: the short ones are learnt again, without the long ones between.
+            short = [c for c in new if len(c) <= self._longest]
+            data = [self._ids[self._starts[found[k]] : self._starts[found[k] + 1]] for k, c in zip(lacking, new) if len(c) <= self._longest]
+            self._put(first, np.array([len(x) for x in data], np.int64), np.concatenate([*data, self._ids[:0]]))
+            self._known.update(zip(short, range(first, first + len(short))))
+        return ids, np.concatenate([[0], ends])[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()].astype(np.int64)
+
+    def _put(self, first: int, sizes, ids) -> None:
+        """Remembers the ids of the chunks that get the numbers from ``first``."""
+        import numpy as np
+
+        at = int(self._starts[first])
+        while len(self._starts) < first + len(sizes) + 1:
+            self._starts = np.concatenate([self._starts, np.zeros(len(self._starts), np.int64)])
+        while len(self._ids) < at + len(ids):
+            self._ids = np.concatenate([self._ids, np.zeros(len(self._ids), "<u4")])
+        self._starts[first + 1 : first + 1 + len(sizes)] = at + np.cumsum(sizes)
+        self._ids[at : at + len(ids)] = ids
+
+    def _learn(self, first: int, new) -> None:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        stop, comma = (pc.ends_with(new, pattern=x).to_numpy(zero_copy_only=False) for x in ".,")
+        low = pc.ascii_lower(pc.if_else(pc.or_(pc.ends_with(new, pattern="."), pc.ends_with(new, pattern=",")), pc.utf8_slice_codeunits(new, 0, -1), new))
+        plain = pc.and_(pc.string_is_ascii(new), pc.ascii_is_alpha(low)).to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(new), np.int64)
+        words = low.filter(plain).dictionary_encode()
+        word_ids, word_ends = self._encode_plain(words.dictionary.to_pylist())
+        word_sizes = np.diff(word_ends, prepend=0)
+        word = words.indices.to_numpy()
+        marked = (stop | comma) & plain
+        sizes[plain] = word_sizes[word]
+        others = self._encode_others(new.filter(~plain).to_pylist())
+        sizes[~plain] = [len(x) // 4 for x in others]
+        ends = np.cumsum(sizes + marked)
+        starts = ends - sizes - marked
+        out = np.zeros(int(ends[-1]), "<u4")
+        out[_spans(starts[plain], sizes[plain])] = word_ids[_spans((word_ends - word_sizes)[word], sizes[plain])]
+        out[_spans(starts[~plain], sizes[~plain])] = np.frombuffer(b"".join(others), "<u4")
+        for mark, where in ((".", stop & plain), (",", comma & plain)):
+            out[ends[where] - 1] = np.frombuffer(self._marks[mark], "<u4")
+        self._put(first, sizes + marked, out)
+
+    def _encode_others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that aren't ASCII letters alone: Latin letters need no normalizer either."""
+        latin: dict[str, tuple[str, str]] = {}
+        for c in chunks:
+            mark = c[-1:] if c[-1:] in (".", ",") else ""
+            low = (c[:-1] if mark else c).lower()
+            if low.isalpha() and max(c) < "\u0250":
+                latin[c] = low, mark
+        wanted = list({low for low, _ in latin.values()})
+        ids, ends = self._encode_plain(wanted)
+        data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+        found = {w: data[a:b] for w, a, b in zip(wanted, cuts, cuts[1:])}
+        rest = [c for c in chunks if c not in latin]
+        known = dict(zip(rest, self._encode(rest)))
+        return [found[x[0]] + self._marks[x[1]] if (x := latin.get(c)) else known[c] for c in chunks]
+
+    def _encode_plain(self, chunks: list[str]) -> tuple:
+        """(ids in a row, end of each chunk's) of chunks of lower-case Latin letters."""
         import numpy as np
 
         if not chunks:
-            return []
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         ids = np.array(self._plain.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = [0, *((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()]
-        if len(cuts) != len(chunks) + 1:
-            return self._encode(chunks)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(chunks):
+            data = self._encode(chunks)
+            ids, ends = np.frombuffer(b"".join(data), "<u4"), np.cumsum([len(x) // 4 for x in data])
+        return ids, ends
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         import numpy as np
@@ -150,6 +221,40 @@ class ChunkTokenizer:
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def slices(batches, column: int, piece: int = 4_000_000):
+    """Arrow batches in slices whose texts have about ``piece`` bytes, at least a row each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        k = 0
+        while k < batch.num_rows:
+            upto = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + piece, "right")))
+            yield batch.slice(k, upto - k)
+            k = upto
+
+
+def _cut(text: str, piece: int):
+    """A long text in pieces that end behind white space; without any it is one piece."""
+    a = 0
+    while len(text) - a > piece:
+        b = a + piece
+        while b < len(text) and not text[b - 1].isspace():
+            b += 1
+        yield text[a:b]
+        a = b
+    yield text[a:]
+
+
+def _spans(starts, sizes):
+    """The places starts[0], starts[0] + 1, ... of each span, in a row."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 #: What workers keep between tasks, by who uses it; workers are used again by other operators.
 _KEPT: dict[str, list] = {}

@@ -161,14 +161,6 @@ class Packer:
         return places, kinds
 
 
-def sentence_ends(ids: np.ndarray, stops: list[int]) -> np.ndarray:
-    """The places behind each id that ends a sentence."""
-    found = np.zeros(len(ids), bool)
-    for x in stops:
-        found |= ids == x
-    return np.flatnonzero(found) + 1
-
-
 def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 1, penalties: tuple[int, int, int] = (0, 4, 24), with_ids: bool = False) -> DataFrame:
     """Packs every document, in the order of the table's files, into sequences of at most ``size`` ids.
 
@@ -188,7 +180,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .common import give_back, tokenizer
+        from .common import give_back, slices, tokenizer
 
         stops = [int.from_bytes(x, "little") for x in tokenizer(vocabulary).ids([".", "!", "?"]) if len(x) == 4]
         base = TaskContext.get().partitionId() << 36
@@ -204,19 +196,23 @@ def pack_documents(documents: DataFrame, vocabulary: str, *, size: int = 2048, e
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.binary()) for c in columns[7:]]
             return pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 256):
-                for doc_id, own in zip(doc_ids[a : a + 256], tokenizer(vocabulary).ids(texts[a : a + 256])):
-                    for piece in packer.take(doc_id, own + end, sentence_ends(np.frombuffer(own, "<u4"), stops)):
-                        rows.append(slim(piece))
-                        held += len(piece[7]) if with_ids else 0
-                        if held >= 1 << 22:
-                            yield out(rows)
-                            rows, held = [], 0
-                if len(rows) > 2000:
-                    yield out(rows)
-                    rows, held = [], 0
+        ends_sentence = np.zeros(1 << 16, bool)
+        ends_sentence[stops] = True
+        for part in slices(batches, 1):
+            ids, ends = tokenizer(vocabulary).encode(part.column(1))
+            places = np.flatnonzero(ends_sentence.take(ids, mode="clip")) + 1
+            starts = np.concatenate([[0], ends[:-1]])
+            first, last = np.searchsorted(places, starts, "right").tolist(), np.searchsorted(places, ends, "right").tolist()
+            for doc_id, a, b, i, j in zip(part.column(0).to_pylist(), starts.tolist(), ends.tolist(), first, last):
+                for piece in packer.take(doc_id, ids[a:b].tobytes() + end, places[i:j] - a):
+                    rows.append(slim(piece))
+                    held += len(piece[7]) if with_ids else 0
+                    if held >= 1 << 22:
+                        yield out(rows)
+                        rows, held = [], 0
+            if len(rows) > 2000:
+                yield out(rows)
+                rows, held = [], 0
         for piece in packer.finish():
             rows.append(slim(piece))
             held += len(piece[7]) if with_ids else 0

@@ -2,11 +2,15 @@
 
 A shard is a run of blocks, each of whole documents and decoded on its own:
 
-    4 bytes "OTK1", then little-endian u32: documents, ids, distinct ids, data bytes
+    4 bytes "OTK2", then little-endian u32: documents, ids, distinct ids, data bytes
     i64 doc_id x documents, u8 null flag x documents, u32 id count x documents
     u32 distinct ids by falling frequency in the block (the rank table)
     ceil(ids / 4) control bytes, each with four 2-bit lengths (1 to 4 bytes), low bits first
     the data bytes: ranks, little-endian
+    a line feed
+
+Shards are written by Spark's text sink, a block a row, and read as binary files, so that any Hadoop
+file system, the commit protocol and the repetition of tasks are Spark's own business.
 
 Ranks are taken per block, so that one pass suffices and a block needs nothing outside itself. All
 256 control bytes are known in advance; a numpy table turns them into lengths, and four gathers into
@@ -24,16 +28,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = b"OTK1"
+from .common import materialize
+
+MAGIC = b"OTK2"
 _HEAD = struct.Struct("<4sIIII")
 #: Lengths of the four values that a control byte describes.
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
-def encode_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """One block of whole documents; ``ids`` are little-endian unsigned 32-bit."""
-    counts = np.array([len(x) // 4 for x in ids], "<u4")
-    values = np.frombuffer(b"".join(ids), "<u4")
+def encode_block(doc_ids: list[int | None], counts: np.ndarray, values: np.ndarray) -> bytes:
+    """One block of whole documents: their ids in a row, and how many each has."""
     if len(values) and int(values.max()) < 1 << 22:
         often = np.bincount(values)
         distinct = np.flatnonzero(often)
@@ -58,149 +62,129 @@ def encode_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
         _HEAD.pack(MAGIC, len(doc_ids), len(ranks), len(distinct), len(data)),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
         bytes(x is None for x in doc_ids),
-        counts.tobytes(),
+        counts.astype("<u4").tobytes(),
         distinct[order].astype("<u4").tobytes(),
         control.tobytes(),
         data,
     ))
 
 
-def decode_blocks(file) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of every document of an open shard, in its order, one block in memory at a time."""
-    while head := file.read(_HEAD.size):
-        magic, docs, n, distinct, size = _HEAD.unpack(head)
+def decode_blocks(data) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of every document of a shard's bytes, in its order, a block at a time."""
+    data, at = memoryview(data), 0
+    while at < len(data):
+        magic, docs, n, distinct, size = _HEAD.unpack_from(data, at)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        body = memoryview(file.read(docs * 13 + distinct * 4 + -(-n // 4) + size))
+        at += _HEAD.size
+        body = data[at : at + docs * 13 + distinct * 4 + -(-n // 4) + size]
+        at += len(body) + 1
         doc_ids = np.frombuffer(body, "<i8", docs)
         nulls = np.frombuffer(body, np.uint8, docs, docs * 8)
         counts = np.frombuffer(body, "<u4", docs, docs * 9)
         table = np.frombuffer(body, "<u4", distinct, docs * 13)
-        at = docs * 13 + distinct * 4
-        lengths = _LENGTHS[np.frombuffer(body, np.uint8, -(-n // 4), at)].reshape(-1)[:n]
-        data = np.concatenate([np.frombuffer(body, np.uint8, size, at + -(-n // 4)), np.zeros(3, np.uint8)])
+        control = docs * 13 + distinct * 4
+        lengths = _LENGTHS[np.frombuffer(body, np.uint8, -(-n // 4), control)].reshape(-1)[:n]
+        coded = np.frombuffer(body, np.uint8, size, control + -(-n // 4))
         starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        ranks = data[starts].astype(np.uint32)
+        ranks = coded[starts].astype(np.uint32)
         for k in (1, 2, 3):
             if len(more := np.flatnonzero(lengths > k)):
-                ranks[more] |= data[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+                ranks[more] |= coded[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
         ids = table[ranks] if n else table[:0]
         ends = np.cumsum(counts, dtype=np.int64)
         for doc_id, null, a, b in zip(doc_ids.tolist(), nulls.tolist(), (ends - counts).tolist(), ends.tolist()):
             yield (None if null else doc_id), ids[a:b]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
-def write_shards(documents: DataFrame, folder: str, vocabulary: str, *, end_id: int = 1, block_ids: int = 2_000_000) -> DataFrame:
+def write_shards(documents: DataFrame, folder: str, vocabulary: str, *, end_id: int = 1, block_ids: int = 2_000_000) -> None:
     """Tokenizes every text, adds ``end_id`` to each document, and writes shards in ``folder``.
 
-    Returns one row per shard: shard, path, docs, n_tokens. Shards ascend by doc_id (nulls first),
-    as do the documents in them; rows that repeat are all written. A null text counts as empty. A task
-    holds one block of ``block_ids`` ids (or one longer document); it writes under a name of its own
-    attempt and then renames, so that a repeated task replaces its shard.
+    Shards ascend by doc_id (nulls first) with their number, as do the documents in them; rows that
+    repeat are all written, an empty table gives no block, and other columns aren't read. A null text
+    counts as empty. A task holds one block of ``block_ids`` ids (or one longer document).
     """
     from .common import text_batches
 
     text_batches(documents.sparkSession)
     by_id = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    end = struct.pack("<I", end_id)
 
     def write(batches):
-        import uuid
-
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        from .common import give_back, tokenizer
-
-        shard = TaskContext.get().partitionId()
-        files, root = _filesystem(folder)
-        files.create_dir(root, recursive=True)
-        path = f"{root}/shard-{shard:06d}.otk"
-        temp = f"{path}.{uuid.uuid4().hex}"
-        docs = tokens = pending = 0
-        doc_ids: list = []
-        ids: list[bytes] = []
-        with files.open_output_stream(temp) as out:
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                all_ids = batch.column(0).to_pylist()
-                for a in range(0, len(texts), 256):
-                    for doc_id, data in zip(all_ids[a : a + 256], tokenizer(vocabulary).ids(texts[a : a + 256])):
-                        doc_ids.append(doc_id)
-                        ids.append(data + end)
-                        pending += len(data) // 4 + 1
-                        docs += 1
-                        if pending >= block_ids:
-                            out.write(encode_block(doc_ids, ids))
-                            doc_ids, ids, tokens, pending = [], [], tokens + pending, 0
-            if doc_ids:
-                out.write(encode_block(doc_ids, ids))
-        files.move(temp, path)
-        give_back()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.otk"], "docs": [docs], "n_tokens": [tokens + pending]})
 
-    return by_id.mapInArrow(write, "shard long, path string, docs long, n_tokens long")
+        from .common import give_back, slices, tokenizer
+
+        doc_ids, counts, values, pending = [], [], [], 0
 
+        def block():
+            return pa.RecordBatch.from_pydict({"block": pa.array([encode_block(doc_ids, np.concatenate(counts), np.concatenate(values))], pa.binary())})
 
-def read_shards(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFrame:
-    """Every document of the shards (path, ids before it): doc_id, start, n_tokens, ids (u32 bytes)."""
-    return _each_document(spark, shards, True)
+        for part in slices(batches, 1):
+            ids, ends = tokenizer(vocabulary).encode(part.column(1))
+            doc_ids += part.column(0).to_pylist()
+            counts.append(np.diff(ends, prepend=0) + 1)
+            values.append(np.insert(ids, ends, end_id).astype("<u4"))
+            pending += len(values[-1])
+            if pending >= block_ids:
+                yield block()
+                doc_ids, counts, values, pending = [], [], [], 0
+        if doc_ids:
+            yield block()
+        give_back()
+
+    by_id.mapInArrow(write, "block binary").select(F.col("block").cast("string").alias("value")).write.text(folder)
 
 
-def _each_document(spark: SparkSession, shards: list[tuple[str, int]], with_ids: bool) -> DataFrame:
-    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+def read_shards(spark: SparkSession, folder: str, *, with_ids: bool = True) -> DataFrame:
+    """Every document of the shards in ``folder``: doc_id, start, n_tokens, ids_crc32 and, where asked, ids (u32 bytes).
+
+    ``start`` counts the ids of all documents before it. Shards without documents add nothing. What
+    is collected is a number for each shard.
+    """
+    kind = "shard int, doc_id long, local long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    kinds = [("shard", "int32"), ("doc_id", "int64"), ("local", "int64"), ("n_tokens", "int64"), ("ids_crc32", "int64"), ("ids", "binary")][: 6 if with_ids else 5]
 
     def decode(batches):
         import pyarrow as pa
 
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, getattr(pa, t)()) for c, (_, t) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                files, name = _filesystem(path)
+            for k, shard in enumerate(batch.column(0).to_pylist()):
                 rows: list[tuple] = []
-                held = 0
-                with files.open_input_stream(name) as file:
-                    for doc_id, ids in decode_blocks(file):
-                        data = ids.astype("<u4").tobytes()
-                        rows.append((doc_id, start, len(ids), zlib.crc32(data), data))
-                        start += len(ids)
-                        held += len(data)
-                        if len(rows) == 5000 or held > 16_000_000:
-                            yield _batch(pa, rows, with_ids)
-                            rows, held = [], 0
+                start = held = 0
+                for doc_id, ids in decode_blocks(batch.column(1)[k].as_buffer()):
+                    data = ids.astype("<u4").tobytes()
+                    rows.append((shard, doc_id, start, len(ids), zlib.crc32(data), data)[: len(kinds)])
+                    start += len(ids)
+                    held += len(data)
+                    if len(rows) == 5000 or with_ids and held > 16_000_000:
+                        yield out(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield _batch(pa, rows, with_ids)
-
-    if not shards:
-        return spark.createDataFrame([], kind)
-    table = spark.createDataFrame(shards, "path string, start long").repartition(len(shards))
-    return table.mapInArrow(decode, kind)
-
-
-def _batch(pa, rows, with_ids):
-    columns = list(zip(*rows))
-    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())][: 5 if with_ids else 4]
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+                    yield out(rows)
 
+    number = F.regexp_extract("path", r"part-([0-9]+)[^/]*$", 1).cast("int")
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select(number.alias("shard"), "content")
+    found = files.mapInArrow(decode, kind)
+    found = found if with_ids else materialize(found, "token-places")
+    totals, before = [], 0
+    for shard, n in sorted(map(tuple, found.groupBy("shard").agg(F.sum("n_tokens")).collect())):
+        totals.append((shard, before))
+        before += n
+    import pyarrow as pa
 
-def shard_starts(shards: DataFrame) -> list[tuple[str, int]]:
-    """(path, ids before it) of each shard that has documents: a row for each shard, so a small list."""
-    out, start = [], 0
-    for r in sorted(shards.select("shard", "path", "docs", "n_tokens").collect()):
-        if r.docs:
-            out.append((r.path, start))
-            start += r.n_tokens
-    return out
+    # An Arrow table becomes a local relation, whose size the planner knows.
+    numbers = list(zip(*totals)) or [(), ()]
+    starts = spark.createDataFrame(pa.table([pa.array(numbers[0], pa.int32()), pa.array(numbers[1], pa.int64())], names=["shard", "before"]))
+    return found.join(starts, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), *(n for n, _ in kinds[3:]))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards of all documents, reads them back and returns each document's place and digest."""
     from .common import read, shared_dir, vocabulary_path
 
-    shards = write_shards(read(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), vocabulary_path())
-    return _each_document(spark, shard_starts(shards), False)
+    folder = shared_dir(spark, "tokens")
+    write_shards(read(spark, sf_dir, "documents"), folder, vocabulary_path())
+    return read_shards(spark, folder, with_ids=False)

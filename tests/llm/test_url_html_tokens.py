@@ -1,4 +1,3 @@
-import io
 import math
 import random
 import time
@@ -146,12 +145,12 @@ def test_blocks_round_trip():
     small = [d % 60_000 for d in docs]
     for own in (docs, small, [docs[0]], []):
         ids = [None if k == 1 else k * 10 for k in range(len(own))]
-        data = token_files.encode_block(ids, [d.tobytes() for d in own])
-        back = list(token_files.decode_blocks(io.BytesIO(data * 2)))
+        data = token_files.encode_block(ids, np.array([len(d) for d in own], np.int64), np.concatenate([*own, docs[0]]))
+        back = list(token_files.decode_blocks((data + b"\n") * 2))
         assert [i for i, _ in back] == ids * 2
         assert all((a == b).all() for (_, a), b in zip(back, own * 2))
     with pytest.raises(ValueError):
-        list(token_files.decode_blocks(io.BytesIO(b"x" * 40)))
+        list(token_files.decode_blocks(b"x" * 40))
 
 
 def documents(spark, rows):
@@ -169,15 +168,17 @@ def reference():
 
 
 def test_token_files(spark):
-    shards = token_files.write_shards(documents(spark, ROWS), shared_dir(spark, "tokens"), vocabulary_path(), block_ids=500)
-    got = token_files.read_shards(spark, token_files.shard_starts(shards)).orderBy("start").collect()
+    folder = shared_dir(spark, "tokens")
+    token_files.write_shards(documents(spark, ROWS), folder, vocabulary_path(), block_ids=500)
+    got = token_files.read_shards(spark, folder).orderBy("start").collect()
     key = lambda i: (i is not None, i or 0)
     assert [r.doc_id for r in got] == sorted((i for i, _, _ in ROWS), key=key)
     assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(i), b) for i, b in reference())
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in got)
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
-    none = token_files.write_shards(documents(spark, ROWS).limit(0), shared_dir(spark, "tokens"), vocabulary_path())
-    assert token_files.read_shards(spark, token_files.shard_starts(none)).count() == 0
+    folder = shared_dir(spark, "tokens")
+    token_files.write_shards(documents(spark, ROWS).limit(0), folder, vocabulary_path())
+    assert token_files.read_shards(spark, folder).count() == 0 == token_files.read_shards(spark, folder, with_ids=False).count()
 
 
 def test_packing(spark):
