@@ -165,15 +165,29 @@ def _reach(hasher: Hasher, heads: np.ndarray, usual: float, rng: np.random.Gener
     return 0.0
 
 
-def _best(queries, ids, x, k):
-    """(query row, id, distance) of the k nearest and their ties, exact distances in double precision."""
+def _best(query_ids, queries, ids, x, k):
+    """(query row, id, distance) of each query's k nearest ids but its own, and their ties, in double precision.
+
+    Rows that share an id are one, as near as their nearest: neither they nor the query's own rows take
+    a place from others.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, firsts = np.unique(ids[order], return_index=True)
+    x = x[order]
+    at = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
+    own = ids[at] == query_ids
     out = []
-    for a in range(0, len(queries), max(1, 2_000_000 // max(1, x.size))):
-        part = queries[a : a + max(1, 2_000_000 // max(1, x.size))]
+    step = max(1, 2_000_000 // max(1, x.size))
+    for a in range(0, len(queries), step):
+        part = queries[a : a + step]
         d = np.sqrt(((part[:, None, :] - x[None]) ** 2).sum(2))
-        if len(x) > k + 1:
-            d = np.where(d <= np.partition(d, k, 1)[:, k : k + 1], d, np.nan)
-        r, c = np.nonzero(~np.isnan(d))
+        if len(firsts) < len(x):
+            d = np.minimum.reduceat(d, firsts, axis=1)
+        mine = np.flatnonzero(own[a : a + step])
+        d[mine, at[a : a + step][mine]] = np.inf
+        if len(ids) > k:
+            d = np.where(d <= np.partition(d, k - 1, 1)[:, k - 1 : k], d, np.inf)
+        r, c = np.nonzero(d < np.inf)
         out.append((r + a, ids[c], d[r, c]))
     return tuple(np.concatenate(z) for z in zip(*out))
 
@@ -247,7 +261,7 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
                 i, j = np.searchsorted(lb, [b, b + 1])
                 if i < j:
                     a, c = np.searchsorted(rb, [b, b + 1])
-                    q, ids, d = _best(rx[a:c], lid[i:j], lx[i:j], settings.k)
+                    q, ids, d = _best(rid[a:c], rx[a:c], lid[i:j], lx[i:j], settings.k)
                     found.append((rid[a:c][q], ids, d))
         if not found:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -297,7 +311,7 @@ def _scan(rows: DataFrame, queries: list, k: int) -> DataFrame:
         for batch in batches:
             own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             for a in range(0, len(own), 2000):
-                q, c, d = _best(x, batch.column(0).to_numpy()[a : a + 2000], own[a : a + 2000], k)
+                q, c, d = _best(ids, x, batch.column(0).to_numpy()[a : a + 2000], own[a : a + 2000], k)
                 yield from _few(ids[q], c, d, k).to_batches()
 
     return rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")

@@ -8,6 +8,7 @@ occurrences are located by sampled suffix positions, and the spans of a document
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from itertools import repeat
 
@@ -17,28 +18,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, give_back, text_batches, words
+from .common import claim, give_back, slices, text_batches, words
 from .fm_index import FMIndex
 
 
 class Phrases:
-    """The windows of the benchmark's items: ``window`` words, or the whole of a shorter item."""
+    """The windows of the benchmark's items: ``window`` words, or the whole of a shorter item.
+
+    Distinct windows are the rows of one matrix, about 40 bytes each; whose they are is an array too.
+    """
 
     def __init__(self, items: Iterable[tuple[object, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self._names: list[str] = []
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for a in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners = found.setdefault(tuple(ids[a : a + window]), set())
-                if item is not None:
-                    owners.add(str(item))
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.matrix = np.zeros((len(found), window), np.int64)
-        for k, x in enumerate(found):
-            self.matrix[k, : len(x)] = x
-        self.shortest = int(self.lengths.min()) if found else 0
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
+            if not len(ids):
+                continue
+            short = max(0, window - len(ids))
+            rows.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([ids, np.zeros(short, np.int32)]), window).copy())
+            owners.append(np.full(len(rows[-1]), len(self._names) if item is not None else -1, np.int32))
+            if item is not None:
+                self._names.append(str(item))
+        every = np.concatenate(rows)
+        del rows
+        order = np.lexsort(every.T[::-1])
+        every = every[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]).any(1)
+        self.matrix = every[new]
+        self.lengths = (self.matrix > 0).sum(1)
+        self.shortest = int(self.lengths.min()) if len(self.matrix) else 0
+        self._owners = np.concatenate(owners)[order]
+        self._firsts = np.append(np.flatnonzero(new), len(every))
+
+    def items(self, phrase: int) -> set[str]:
+        """The items, by their ids as strings, that have a window."""
+        own = self._owners[self._firsts[phrase] : self._firsts[phrase + 1]]
+        return {self._names[k] for k in own.tolist() if k >= 0}
 
 
 def search_shard(texts: Iterable[str | None], phrases: Phrases) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
@@ -72,7 +90,7 @@ def search_shard(texts: Iterable[str | None], phrases: Phrases) -> list[tuple[in
         run = np.searchsorted(starts, at, "right") - 1
         doc = doc_of_run[run]
         for d, p in np.unique(np.stack([doc, phrase]), axis=1).T.tolist() if len(doc) else []:
-            items[d].update(phrases.items[p])
+            items[d] |= phrases.items(p)
         cover = np.zeros(index.size + 1, np.int64)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + phrases.lengths[phrase], -1)
@@ -86,6 +104,19 @@ def search_shard(texts: Iterable[str | None], phrases: Phrases) -> list[tuple[in
 
 
 _ZERO = np.zeros(1, np.int32)
+#: The phrases that a worker has last searched for, by their broadcast.
+_PHRASES: dict[tuple[str, int], Phrases] = {}
+
+
+class _Shared:
+    """A broadcast with a name that is its own in every session."""
+
+    def __init__(self, broadcast):
+        self.id, self._broadcast = uuid.uuid4().hex, broadcast
+
+    @property
+    def value(self):
+        return self._broadcast.value
 
 _FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -95,15 +126,26 @@ _FOUND = T.StructType([
 ])
 
 
-def find_passages(documents: DataFrame, benchmark: DataFrame, *, keep: Iterable[str] = ("doc_id",), window: int = 10, result: str = "found", most_benchmark_bytes: int = 64_000_000) -> DataFrame:
+def _phrases(shared: _Shared, window: int) -> Phrases:
+    """The worker's phrases; made once, not by every task."""
+    claim("decontamination", _PHRASES)
+    if (shared.id, window) not in _PHRASES:
+        _PHRASES.clear()
+        _PHRASES[shared.id, window] = Phrases(shared.value, window)
+    return _PHRASES[shared.id, window]
+
+
+def find_passages(documents: DataFrame, benchmark: DataFrame, *, keep: Iterable[str] = ("doc_id",), window: int = 10, result: str = "found", most_benchmark_bytes: int = 16_000_000) -> DataFrame:
     """The columns ``keep`` of every document, and a struct: n_words, n_hit, items, spans.
 
     A word is hit if it lies in an occurrence of a window of ``window`` consecutive words of an item,
     or of the whole of a shorter item; spans are merged, of word numbers, the end exclusive. Items are
     the ids, as sorted strings, of all that have an occurring window; an item with a null id counts
-    for the words hit only. Null and empty texts have no words. Repeated rows are searched each. The
-    benchmark goes to every task if its texts have at most ``most_benchmark_bytes`` bytes; a larger
-    one is searched in that many parts, in a pass each, and the parts' spans are merged.
+    for the words hit only. Null and empty texts have no words. Repeated rows are searched each, an empty
+    table gives none, and columns may have any name. The benchmark goes to every task if its texts have at
+    most ``most_benchmark_bytes`` bytes (some 400 MB of windows at the default); a larger one is searched
+    in that many parts, in a pass each, and the parts' spans are merged. A shard is a run of documents of
+    about eight megabytes of text, or one longer document.
     """
     spark = documents.sparkSession
     keep = list(keep)
@@ -112,25 +154,30 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, *, keep: Iterable[
     parts = -(-size // most_benchmark_bytes) or 1
     if parts == 1:
         return _pass(spark, documents, keep, texts.collect(), window, result)
-    numbered = documents.withColumn("_row", F.monotonically_increasing_id())
+    row = "_row"
+    while row in documents.columns:
+        row = f"_{row}"
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
     out = None
     for k in range(parts):
         items = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        one = _pass(spark, numbered, [*keep, "_row"], items, window, result)
+        one = _pass(spark, numbered, [*keep, row], items, window, result)
         out = one if out is None else out.unionByName(one)
+    kept = F.first(F.struct(*[F.col(c) for c in keep])).alias("kept")
     f = F.col(result)
-    grouped = out.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.first(f["n_words"]).alias("_n"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(f["items"])))).alias("_i"), F.sort_array(F.flatten(F.collect_list(f["spans"]))).alias("_s"))
+    parts = [F.first(f["n_words"]).alias("n"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(f["items"])))).alias("i"), F.sort_array(F.flatten(F.collect_list(f["spans"]))).alias("s")]
+    grouped = out.groupBy(row).agg(kept, *parts).select("kept", "n", "i", "s")
     merged = F.expr(
-        "aggregate(_s, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> IF(size(a) > 0 AND x.start <= element_at(a, -1).end,"
+        "aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> IF(size(a) > 0 AND x.start <= element_at(a, -1).end,"
         " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"
     )
-    grouped = grouped.withColumn("_s", merged)
-    hit = F.expr("aggregate(_s, 0L, (n, x) -> n + x.end - x.start)")
-    return grouped.select(*keep, F.struct(F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_i").alias("items"), F.col("_s").alias("spans")).alias(result))
+    grouped = grouped.withColumn("s", merged)
+    hit = F.expr("aggregate(s, 0L, (n, x) -> n + x.end - x.start)")
+    return grouped.select("kept.*", F.struct(F.col("n").alias("n_words"), hit.alias("n_hit"), F.col("i").alias("items"), F.col("s").alias("spans")).alias(result))
 
 
 def _pass(spark, documents, keep, items, window, result):
-    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in items])
+    shared = _Shared(spark.sparkContext.broadcast([(r[0], r[1]) for r in items]))
     text_batches(spark)
     at = keep.index("text") if "text" in keep else len(keep)
     chosen = documents.select(*keep) if "text" in keep else documents.select(*keep, F.col("text").alias("_searched"))
@@ -140,10 +187,9 @@ def _pass(spark, documents, keep, items, window, result):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        claim("decontamination")
-        phrases = Phrases(shared.value, window)
+        phrases = _phrases(shared, window)
         kind = to_arrow_type(_FOUND)
-        for batch in batches:
+        for batch in slices(batches, at, 8_000_000):
             texts = batch.column(at)
             found = search_shard((x.as_py() for x in texts), phrases)
             column = pa.array([{"n_words": n, "n_hit": h, "items": i, "spans": [{"start": a, "end": b} for a, b in s]} for n, h, i, s in found], kind)

@@ -22,6 +22,8 @@ from .common import materialize
 MAGIC = "WARC/1.1\r\n"
 _BLANK = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "
+#: Fixed value: the standard's name of revisits by equal payload.
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -49,26 +51,31 @@ def records_of(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return rows.join(first, "_sha1", "left").select("page_id", "url", "payload", "payload_bytes", base32_sha1(F.col("payload")).alias("payload_digest"), F.when(again, F.col("_of")).alias("refers_to"), again.alias("is_revisit"))
 
 
-def record_text(page_id: Column, url: Column, payload: Column, size: Column, digest: Column, revisit: Column, refers_to: Column) -> Column:
-    """A record's bytes without the magic line's and the last blank lines."""
+def record_text(page_id: Column, url: Column, payload: Column, size: Column, digest: Column, revisit: Column, refers_to: Column, date: str) -> Column:
+    """A record's bytes without the last blank lines."""
     clean = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
     http = F.concat(F.lit(_HTTP), size.cast("string"), F.lit(_BLANK))
     block = F.when(revisit, http).otherwise(F.concat(http, payload))
     return F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), clean(page_id),
-        F.lit(">\r\nWARC-Target-URI: "), clean(url),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), clean(url),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), digest,
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), clean(refers_to), F.lit(">"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {_PROFILE}\r\nWARC-Refers-To: <urn:page:"), clean(refers_to), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
         F.lit(_BLANK), block,
     )
 
 
-def write_warc(records: DataFrame, folder: str) -> None:
-    """Writes the rows of ``records_of`` as archives in ``folder``, one for each partition."""
+def write_warc(records: DataFrame, folder: str, *, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes the rows of ``records_of`` as archives in ``folder``, one for each partition.
+
+    Every record has the date given, since pages have none. A null page_id or url is written empty, line
+    ends in them become spaces; rows that repeat are written each, with the same record id. An empty table
+    gives archives without a record.
+    """
     c = F.col
-    text = record_text(c("page_id"), c("url"), c("payload"), c("payload_bytes"), c("payload_digest"), c("is_revisit"), c("refers_to"))
+    text = record_text(c("page_id"), c("url"), c("payload"), c("payload_bytes"), c("payload_digest"), c("is_revisit"), c("refers_to"), date)
     records.select(text.alias("value")).write.option("lineSep", _BLANK).text(folder)
 
 

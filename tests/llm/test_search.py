@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -143,6 +144,18 @@ def test_probe_order():
     assert costs == sorted(costs)
 
 
+def test_repeated_rows_take_no_place(spark):
+    """Thirty rows of the query and of one candidate, all in one partition: every other candidate is returned."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 2.0, 3.0])] * 30 + [(k, (np.array([1.0, 2.0, 3.0]) + rng.normal(size=3)).tolist()) for k in range(1, 10)]
+    rows += [(5, [40.0, 40.0, 40.0])] * 30
+    got = ann.nearest(vectors(spark, rows).coalesce(1), F.col("vec_id") == 0).collect()
+    near = {k: math.dist(v, [1.0, 2.0, 3.0]) for k, v in rows[30:39]}
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(n, k) for n, k in enumerate(sorted(near, key=near.get), 1)]
+    ids, d = ann._best(np.array([7]), np.zeros((1, 2)), np.array([7, 7, 3, 3, 1, 2]), np.array([[0, 0], [0, 0], [9, 9], [1, 0], [2, 0], [0, 3.0]]), 2)[1:]
+    assert dict(zip(ids.tolist(), d.tolist())) == {3: 1.0, 1: 2.0}
+
+
 # Near-duplicates
 
 
