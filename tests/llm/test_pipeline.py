@@ -35,6 +35,37 @@ def test_filters_keep_columns_and_clean_rows(spark, tmp_path):
     assert kept[1] == kept[0] - {51, None} and kept[2] == kept[1] - {50} and kept[3] == kept[2] - {52}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_language_stage_rejects_what_is_in_no_learnt_language(spark):
+    known = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "QmFzZTY0IGVuY29kaW5nIG9mIHNvbWUgcmFuZG9tIHRleHQgdGhhdCBpcyBsb25nIGVub3VnaA",
+        "xkcd qwrt zxcvb mnbvc lkjhg fdsq wrtp ghjk", "12 345 ?!", "", None,
+    ]
+    more = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(foreign)], "doc_id long, text string")
+    docs = known.unionByName(more, allowMissingColumns=True)
+    kept = corpus_pipeline.drop_unknown_language(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.where("doc_id >= 1000000").count() == 0
+    assert kept.count() == known.where("text RLIKE '[A-Za-z]'").count()
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kind = "doc_id long, text string, lang string, toxic_score string, lang_pred string, lang_score string, found string, _key string, _kept_id string, _row string"
+    row = (1, "a few words of a text", "en", *"abcdefg")
+    for rows in ([], [row, row, (2, None, "en", *"abcdefg")]):
+        out = spark.createDataFrame(rows, kind)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, str(tmp_path))
+            assert out.columns == [x.split()[0] for x in kind.split(", ")]
+        assert [tuple(r) for r in out.collect()] == rows[:1]
+        assert corpus_pipeline.pack(spark, out, str(tmp_path)).count() == len(rows[:1])
+
+
 def test_pack_gives_the_ids(spark):
     import zlib
 
