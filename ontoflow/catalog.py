@@ -614,4 +614,68 @@ def members_agreement(spark, sf_dir):
     return agreement(found, rich)
 
 
+_STAR = "urn:star:"
+#: The rules of ``_schema`` as an ontology.
+_TURTLE = f"""@prefix : <{_STAR}> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+:Urgent a owl:Class ; owl:disjointWith :MACHINERY ; owl:equivalentClass [ owl:intersectionOf ( :Customer
+    [ a owl:Restriction ; owl:onProperty [ owl:inverseOf :placedBy ] ; owl:someValuesFrom :1-URGENT ] ) ] .
+:BusyNation a owl:Class ; owl:equivalentClass [ owl:intersectionOf ( :Nation
+    [ a owl:Restriction ; owl:onProperty [ owl:inverseOf :custNation ] ; owl:someValuesFrom [ owl:intersectionOf ( :Urgent :BUILDING ) ] ] ) ] .
+:BusyRegion a owl:Class ; owl:equivalentClass [ owl:intersectionOf ( :Region
+    [ a owl:Restriction ; owl:onProperty [ owl:inverseOf :nationRegion ] ; owl:someValuesFrom :BusyNation ] ) ] .
+"""
+
+
+@query("rdf_memberships", f"SELECT '{_STAR}' || id AS id, '{_STAR}' || cls AS cls FROM ({_FIX}) WHERE NOT (cls = 'Urgent' AND id IN (SELECT id FROM {CUSTOMERS} WHERE c_mktsegment = 'MACHINERY')) AND cls <> 'Watched'")
+def rdf_memberships(spark, sf_dir):
+    """From files to memberships: N-Triples of the star graph, a Turtle ontology, rules and what they exclude."""
+    import posixpath
+    import uuid
+
+    from .sources.rdf import TYPE, graph_triples, load_facts, parse_turtle, write_ntriples
+    from .storage import shared_root
+
+    path = posixpath.join(shared_root(spark), f"triples-{uuid.uuid4().hex}")
+    named = lambda c: F.concat(F.lit(_STAR), c).alias(c)
+    property_ = F.when(F.col("p") == TYPE, F.col("p")).otherwise(F.concat(F.lit(_STAR), "p")).alias("p")
+    write_ntriples(graph_triples(star_graph(spark, sf_dir, _GEO)).select(named("s"), property_, named("o")), path)
+    prepared = modes.prepare(load_facts(spark, path), Schema.from_triples(parse_turtle(_TURTLE)), modes.Profile(same_as=False, has_key=False))
+    return modes.stratified(prepared, [f"{_STAR}{c}" for c in ("Urgent", "BusyNation", "BusyRegion")])
+
+
+def _scaled(d: Dag, x: float) -> dict[str, int]:
+    """A node of every kind with a scale factor."""
+    urgent = d.atomic("1-URGENT")
+    return {
+        "const_": d.const(scale=x), "atomic_": d.atomic("Customer", scale=x), "negation_": d.negation(d.atomic("Customer"), scale=x),
+        "union_": d.union(d.atomic("Customer"), urgent, scale=x), "inter_": d.intersection(d.atomic("Customer"), d.exists("placedBy", direction=BACKWARD), scale=x),
+        "exists_": d.exists("placedBy", urgent, BACKWARD, scale=x), "forall_": d.forall("placedBy", urgent, BACKWARD, scale=x),
+        "min_": d.min_card(2, "placedBy", urgent, BACKWARD, scale=x), "max_": d.max_card(2, "placedBy", urgent, BACKWARD, scale=x),
+        "exact_": d.exact_card(2, "placedBy", urgent, BACKWARD, scale=x), "reach_": d.exists_transitive("placedBy", urgent, BACKWARD, scale=x),
+        "self_": d.has_self("placedBy", scale=x),
+    }
+
+
+def _scaled_sql(x: float) -> str:
+    n = "coalesce(u, 0)"
+    as_ = lambda e: f"(({e})::INT * {x})::DOUBLE"
+    return ", ".join(f"{as_(e)} AS {name}{str(x).replace('.', '')}" for name, e in {
+        "const_": "TRUE", "atomic_": "c", "negation_": "NOT c", "union_": "c OR o", "inter_": "c AND coalesce(t, 0) > 0", "exists_": f"{n} > 0",
+        "forall_": f"coalesce(t, 0) = {n}", "min_": f"{n} >= 2", "max_": f"{n} <= 2", "exact_": f"{n} = 2", "reach_": f"{n} > 0", "self_": "FALSE",
+    }.items())
+
+
+@query("scale_all_kinds", f"""SELECT id, {_scaled_sql(0.5)}, {_scaled_sql(0.0)} FROM (
+SELECT id, TRUE AS c, FALSE AS o FROM {CUSTOMERS} UNION ALL SELECT id, FALSE, o_orderpriority = '1-URGENT' FROM {ORDERS})
+LEFT JOIN (SELECT dst AS id, count(*) AS t, count(*) FILTER (o_orderpriority = '1-URGENT') AS u FROM {PLACED} GROUP BY 1) USING (id)""")
+def scale_all_kinds(spark, sf_dir):
+    """Every kind of node with the scale factors one half and zero."""
+    g = _customers_orders(spark, sf_dir)
+    d = Dag()
+    for x in (0.5, 0.0):
+        for name, node in _scaled(d, x).items():
+            d.root(f"{name}{str(x).replace('.', '')}", node)
+    return scores(g, d)
+
+
 __all__ = ["THING", "oracle_sql", "queries"]

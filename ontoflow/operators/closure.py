@@ -80,8 +80,9 @@ def role_closure(edges: DataFrame, *, supers: list[tuple[str, str]] = (), invers
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)
+        # Only what is new is written; the known is read from where it is.
         fresh = materialize(found.distinct().join(known, ["p", "src", "dst"], "left_anti"), "roles-fresh")
-        known = materialize(known.unionByName(fresh), "roles")
+        known = known.unionByName(fresh)
     raise NotConverged(f"role closure after {rounds} rounds")
 
 

@@ -33,6 +33,8 @@ def scores(graph: Graph, dag: Dag, roots: dict[str, int] | None = None, *, simil
     cardinality ignores its scale factor.
     """
     roots = dag.roots if roots is None else roots
+    if len(roots) == 1 and (chain := _path_chain(graph, dag, next(iter(roots.values())))):
+        return _path_scores(graph, chain).withColumnRenamed("score", next(iter(roots)))
     needed = dag.reachable(roots.values())
     nodes, depth, crisp = dag.nodes, dag.edge_depth(), dag.crisp()
     atomic = {nodes[i].cls for i in needed if nodes[i].kind is Kind.ATOMIC}
@@ -75,6 +77,34 @@ def scores(graph: Graph, dag: Dag, roots: dict[str, int] | None = None, *, simil
     return frame.select("id", *(score(i).cast("double").alias(name) for name, i in roots.items()))
 
 
+def _path_chain(graph: Graph, dag: Dag, root: int) -> list[Node]:
+    """The steps of a root that is nothing but a path, innermost first; empty if it is more."""
+    chain = []
+    while True:
+        n = dag.nodes[root]
+        if n.kind is not Kind.PATH_STEP or n.prop in graph.reflexive or n.scale is not None and n.scale <= 0:
+            return []
+        chain.append(n)
+        if not n.children:
+            return chain[::-1]
+        root = n.children[0]
+
+
+def _path_scores(graph: Graph, chain: list[Node]) -> DataFrame:
+    """id and score of every node for a path alone: each step carries only nodes that score, not all."""
+    reached = None
+    for k, n in enumerate(chain, 1):
+        near = graph.types.where(F.col("cls") == n.cls).groupBy("id").agg(F.max("w").alias("w"))
+        if reached is not None:
+            near = near.join(reached, "id", "full").select("id", (F.coalesce("w", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("w"))
+        near = near.where("w > 0").select(F.col("id").alias("n"), "w")
+        factor = F.lit(1.0 if n.scale is None else float(n.scale))
+        reached = graph.edge(n.prop, n.direction).join(near, "n").groupBy(F.col("r").alias("id")).agg((F.max("w") * factor).alias("v"))
+        if k % CUT_AFTER == 0 and k < len(chain):
+            reached = materialize(reached, "path")
+    return graph.nodes.select("id").join(reached, "id", "left").select("id", F.coalesce("v", F.lit(0.0)).cast("double").alias("score"))
+
+
 def _over_edges(n: Node) -> bool:
     return n.kind in (Kind.EXISTS, Kind.FORALL, Kind.MIN_CARD, Kind.MAX_CARD, Kind.EXACT_CARD, Kind.PATH_STEP, Kind.HAS_SELF, Kind.EXISTS_TRANSITIVE)
 
@@ -131,15 +161,16 @@ def _zero_without(n: Node) -> bool:
 
 def _with_edges(graph: Graph, below: DataFrame, frame: DataFrame, key, own: list[int], nodes, crisp, score, names, strict_scale) -> DataFrame:
     if key[0] == "self":
+        factors = {i: F.lit(1.0 if nodes[i].scale is None else float(nodes[i].scale)) for i in own}
         if key[1] in graph.reflexive:
-            return frame.withColumns({f"_n{i}": F.lit(1.0) for i in own})
+            return frame.withColumns({f"_n{i}": factors[i] for i in own})
         loops = graph.edges.where((F.col("p") == key[1]) & (F.col("src") == F.col("dst"))).select(F.col("src").alias("id")).distinct()
         joined = frame.join(loops.withColumn("_hit", F.lit(1.0)), "id", "left")
-        return joined.withColumns({f"_n{i}": F.coalesce("_hit", F.lit(0.0)) * F.lit(nodes[i].scale or 1.0) for i in own}).drop("_hit")
+        return joined.withColumns({f"_n{i}": F.coalesce("_hit", F.lit(0.0)) * factors[i] for i in own}).drop("_hit")
     if key[0] == "transitive":
         reached = _transitive(graph, below.select("id", score(key[2]).alias("v")), key[1])
         joined = frame.join(reached, "id", "left")
-        return joined.withColumns({f"_n{i}": F.coalesce("best", F.lit(0.0)) * F.lit(nodes[i].scale or 1.0) for i in own}).drop("best")
+        return joined.withColumns({f"_n{i}": F.coalesce("best", F.lit(0.0)) * F.lit(1.0 if nodes[i].scale is None else float(nodes[i].scale)) for i in own}).drop("best")
 
     edges = graph.edge(key[1], key[2])
     if key[1] in graph.reflexive:

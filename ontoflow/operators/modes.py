@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,6 @@ from .lower import scores
 from .reasoner import SATISFIED, expand_aliases
 
 
-#: Passes of acyclic rules that one plan holds before the memberships are written; planning grows faster than writing.
-PASSES_IN_PLAN = 1
-
-
 @dataclass(frozen=True)
 class Profile:
     """Which passes run before and around the rules."""
@@ -79,8 +76,11 @@ def plan_passes(schema: Schema, profile: Profile = PROFILES["full"]) -> list[tup
     return [(name, on and n > 0, no if not on else f"{n} {what}" if n != 1 or name != "same_as" else what) for name, on, n, what in told]
 
 
-def prepare(facts: Facts, schema: Schema, profile: Profile = PROFILES["full"]) -> Prepared:
-    """The passes of a profile, in their order: reflexive, hierarchy, domains and ranges, equality, roles."""
+def prepare(facts: Facts, schema: Schema, profile: Profile = PROFILES["full"], *, rounds: int = 64) -> Prepared:
+    """The passes of a profile, in their order: reflexive, hierarchy, domains and ranges, equality, roles.
+
+    Equality runs until keys join nothing more; NotConverged is raised after ``rounds``.
+    """
     g = facts.graph
     spark = g.nodes.sparkSession
     asserted = g.types.select("id", "cls")
@@ -109,17 +109,26 @@ def prepare(facts: Facts, schema: Schema, profile: Profile = PROFILES["full"]) -
         if singles:
             one = _table(spark, singles, "cls", "b")
             pairs = pairs.union(g.types.join(one, "cls").select(F.col("id").alias("a"), "b").where("a <> b"))
-        for _ in range(4):
+        for _ in range(rounds):
             alias, conflicts = closure.guarded_components(pairs, different)
+            # Facts meet on representatives: a key's class and its values may come from two names of one individual.
+            merged = g if alias.isEmpty() else closure.canonicalize(g, alias)
             if not (profile.has_key and schema.keys):
                 break
-            before = pairs.count()
-            for cls, props in sorted(schema.keys.items()):
-                pairs = pairs.union(closure.key_pairs(g.types, g.edges, cls, list(props), alias))
-            pairs = materialize(pairs.distinct(), "same")
-            if pairs.count() == before:
+            found = [closure.key_pairs(merged.types, merged.edges, cls, list(props)) for cls, props in sorted(schema.keys.items())]
+            if singles:
+                found.append(merged.types.join(one, "cls").select(F.col("id").alias("a"), "b").where("a <> b"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            new = reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "same")
+            if new.isEmpty():
                 break
-        g = closure.canonicalize(g, alias)
+            pairs = pairs.union(new)
+        else:
+            raise NotConverged(f"equality after {rounds} rounds")
+        if merged is g:
+            alias = None
+        g = merged
     if profile.roles:
         edges = closure.role_closure(g.edges, supers=schema.sub_properties, inverses=schema.inverses, chains=schema.chains, transitive=sorted(schema.transitive))
         g = replace(g, edges=edges)
@@ -146,7 +155,6 @@ def fixpoint(graph: Graph, roots: dict[str, int], compiler: Compiler, depends: d
     """
     # Each pass reads the types twice: from a table, not from however many sources they come.
     graph = replace(graph, types=materialize(graph.types.select("id", "cls", "w"), "types"))
-    start = graph.types.where(F.col("w") >= threshold).select("id", "cls")
     parts = strongly_connected({c: depends.get(c, set()) & roots.keys() for c in roots})
     level: dict[str, int] = {}
     groups: dict[tuple[int, bool], list[str]] = {}
@@ -155,33 +163,27 @@ def fixpoint(graph: Graph, roots: dict[str, int], compiler: Compiler, depends: d
         cyclic = len(part) > 1 or part[0] in depends.get(part[0], ())
         level.update(dict.fromkeys(part, own))
         groups.setdefault((own, cyclic), []).extend(part)
-    uncut = 0
+    added = []
     for (_, cyclic), classes in sorted(groups.items()):
         columns = [f"r{k}" for k in range(len(classes))]
         names = F.create_map(*(F.lit(x) for pair in zip(columns, classes) for x in pair))
-
-        def found(graph):
-            scored = scores(graph, compiler.dag, {r: roots[c] for r, c in zip(columns, classes)})  # noqa: B023
-            return scored.unpivot("id", columns, "_r", "score").where(F.col("score") >= threshold).select("id", names[F.col("_r")].alias("cls"))  # noqa: B023
-
-        if not cyclic:  # one pass, and part of the plan: it is written only after a few
-            graph, uncut = graph.with_types(found(graph)), uncut + 1
-            if uncut == PASSES_IN_PLAN:
-                graph, uncut = replace(graph, types=materialize(graph.types, "types")), 0
-            continue
-        if uncut:
-            graph, uncut = replace(graph, types=materialize(graph.types, "types")), 0
-        for _ in range(rounds):
-            have = graph.types.where(F.col("w") >= threshold).select("id", "cls")
-            fresh = materialize(found(graph).join(have, ["id", "cls"], "left_anti"), "fresh")
-            if fresh.isEmpty():
+        for _ in range(rounds if cyclic else 1):
+            scored = scores(graph, compiler.dag, {r: roots[c] for r, c in zip(columns, classes)})
+            found = scored.unpivot("id", columns, "_r", "score").where(F.col("score") >= threshold).select("id", names[F.col("_r")].alias("cls"))
+            have = graph.types.where((F.col("w") >= threshold) & F.col("cls").isin(classes)).select("id", "cls")
+            # Only what is new is written; the known is read from where it is.
+            fresh = materialize(found.join(have, ["id", "cls"], "left_anti"), "fresh")
+            if cyclic and fresh.isEmpty():
                 break
-            graph = replace(graph, types=materialize(graph.with_types(fresh).types, "types"))
+            added.append(fresh)
+            graph = replace(graph, types=graph.types.unionByName(fresh.withColumn("w", F.lit(1.0))))
         else:
-            raise NotConverged(f"{classes} after {rounds} rounds")
-    if uncut:
-        graph = replace(graph, types=materialize(graph.types, "types"))
-    return graph, graph.types.where(F.col("w") >= threshold).select("id", "cls").join(start, ["id", "cls"], "left_anti")
+            if cyclic:
+                raise NotConverged(f"{classes} after {rounds} rounds")
+    if not added:
+        return graph, graph.types.limit(0).select("id", "cls")
+    # A class that was known with a weight under the threshold has it now in full.
+    return replace(graph, types=graph.types.groupBy("id", "cls").agg(F.max("w").alias("w"))), reduce(DataFrame.union, added)
 
 
 def materialize_positive(prepared: Prepared, targets: list[str] | None = None, **options) -> tuple[Graph, DataFrame]:
@@ -279,15 +281,17 @@ def blockers(prepared: Prepared, types: DataFrame, targets: list[str]) -> tuple[
 # Modes. Each returns (id, cls) or, where named so, more.
 
 
-def stratified(prepared: Prepared, targets: list[str], *, policy: str = "suppress_derived_keep_asserted", status: bool = False) -> DataFrame:
+def stratified(prepared: Prepared, targets: list[str], *, policy: str = "suppress_derived_keep_asserted", status: bool = False, rounds: int = 64) -> DataFrame:
     """Sufficient conditions to the fixpoint, then blockers and the conflict policy.
 
     What negative evidence puts into a class (by complements) is fed to the rules again, until that
-    changes nothing.
+    changes nothing; NotConverged is raised after ``rounds``.
     """
     asserted = prepared.asserted
-    for _ in range(16):
-        graph, _ = materialize_positive(prepared, targets)
+    # By a complement, what any class excludes can lead to a target: then no rule is left out.
+    leading = None if prepared.schema.complements() else targets
+    for _ in range(rounds):
+        graph, _ = materialize_positive(prepared, leading)
         blocked, signed = blockers(prepared, graph.types, targets)
         if not prepared.schema.complements():
             break  # nothing else makes a non-membership a membership
@@ -295,6 +299,8 @@ def stratified(prepared: Prepared, targets: list[str], *, policy: str = "suppres
         if fresh.isEmpty():
             break
         prepared = replace(prepared, facts=replace(prepared.facts, graph=graph.with_types(fresh)))
+    else:
+        raise NotConverged(f"stratified after {rounds} rounds")
     wanted = F.col("cls").isin(list(targets))
     derived = graph.types.select("id", "cls").where(wanted).join(asserted, ["id", "cls"], "left_anti")
     table = negative.assignment_status(asserted.where(wanted), derived, blocked)

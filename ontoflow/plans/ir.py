@@ -74,24 +74,24 @@ class Dag:
 
     # Leaves
 
-    def const(self) -> int:
-        return self.add(Node(Kind.CONST))
+    def const(self, scale: float | None = None) -> int:
+        return self.add(Node(Kind.CONST, scale=scale))
 
     def atomic(self, cls: str, scale: float | None = None) -> int:
         return self.add(Node(Kind.ATOMIC, cls=cls, scale=scale))
 
-    def nominal(self, node: object) -> int:
+    def nominal(self, node: object, scale: float | None = None) -> int:
         if node is None:
             raise ValueError("a nominal needs a node")
-        return self.add(Node(Kind.NOMINAL, node=node))
+        return self.add(Node(Kind.NOMINAL, node=node, scale=scale))
 
-    def datatype(self, datatype: str | None = None, low=None, high=None, low_open=False, high_open=False) -> int:
-        return self.add(Node(Kind.DATATYPE, datatype=datatype, low=low, high=high, low_open=low_open, high_open=high_open))
+    def datatype(self, datatype: str | None = None, low=None, high=None, low_open=False, high_open=False, scale: float | None = None) -> int:
+        return self.add(Node(Kind.DATATYPE, datatype=datatype, low=low, high=high, low_open=low_open, high_open=high_open, scale=scale))
 
     # Boolean operators
 
-    def negation(self, child: int) -> int:
-        return self.add(Node(Kind.NEGATION, (child,)))
+    def negation(self, child: int, scale: float | None = None) -> int:
+        return self.add(Node(Kind.NEGATION, (child,), scale=scale))
 
     def intersection(self, *children: int, mean: bool = False, scale: float | None = None) -> int:
         return self._combined(Kind.INTERSECTION, children, mean, scale)
@@ -118,24 +118,24 @@ class Dag:
     def exists(self, prop: str, child: int | None = None, direction: str = FORWARD, scale: float | None = None) -> int:
         return self.add(Node(Kind.EXISTS, (self._child(child),), prop, direction, scale=scale))
 
-    def forall(self, prop: str, child: int, direction: str = FORWARD) -> int:
-        return self.add(Node(Kind.FORALL, (child,), prop, direction))
+    def forall(self, prop: str, child: int, direction: str = FORWARD, scale: float | None = None) -> int:
+        return self.add(Node(Kind.FORALL, (child,), prop, direction, scale=scale))
 
-    def exists_transitive(self, prop: str, child: int, direction: str = FORWARD, family=None) -> int:
+    def exists_transitive(self, prop: str, child: int, direction: str = FORWARD, family=None, scale: float | None = None) -> int:
         walked = tuple(sorted(family or ((prop, direction),)))
-        return self.add(Node(Kind.EXISTS_TRANSITIVE, (child,), prop, direction, family=walked))
+        return self.add(Node(Kind.EXISTS_TRANSITIVE, (child,), prop, direction, family=walked, scale=scale))
 
     def min_card(self, k: int, prop: str, child: int | None = None, direction: str = FORWARD, fuzzy: bool = False, scale: float | None = None) -> int:
         return self.add(Node(Kind.MIN_CARD, (self._child(child),), prop, direction, k=k, fuzzy=fuzzy, scale=scale))
 
-    def max_card(self, k: int, prop: str, child: int | None = None, direction: str = FORWARD) -> int:
-        return self.add(Node(Kind.MAX_CARD, (self._child(child),), prop, direction, k=k))
+    def max_card(self, k: int, prop: str, child: int | None = None, direction: str = FORWARD, scale: float | None = None) -> int:
+        return self.add(Node(Kind.MAX_CARD, (self._child(child),), prop, direction, k=k, scale=scale))
 
-    def exact_card(self, k: int, prop: str, child: int | None = None, direction: str = FORWARD) -> int:
-        return self.add(Node(Kind.EXACT_CARD, (self._child(child),), prop, direction, k=k))
+    def exact_card(self, k: int, prop: str, child: int | None = None, direction: str = FORWARD, scale: float | None = None) -> int:
+        return self.add(Node(Kind.EXACT_CARD, (self._child(child),), prop, direction, k=k, scale=scale))
 
-    def has_self(self, prop: str) -> int:
-        return self.add(Node(Kind.HAS_SELF, prop=prop))
+    def has_self(self, prop: str, scale: float | None = None) -> int:
+        return self.add(Node(Kind.HAS_SELF, prop=prop, scale=scale))
 
     def path_step(self, prop: str, cls: str, child: int | None = None, direction: str = FORWARD, scale: float | None = None) -> int:
         return self.add(Node(Kind.PATH_STEP, () if child is None else (child,), prop, direction, cls=cls, scale=scale))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .graph import XSD, Graph
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -244,19 +245,136 @@ def load_schema(paths: list[str]) -> list[Triple]:
     return list(dict.fromkeys(out))
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """triples (s, p, o) of N-Triples files: one line a triple, parsed where the lines are."""
-    pattern = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|".*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$'
-    part = lambda k: F.regexp_extract("value", pattern, k)
-    bare = lambda c: F.regexp_replace(c, r"^<(.*)>$", "$1")
-    rows = spark.read.text(path).select(bare(part(1)).alias("s"), part(2).alias("p"), bare(part(3)).alias("o"))
-    return rows.where("p <> ''").distinct()
+_IRI = r'<[^\x00-\x20<>"{}|^`]*>'
+_BLANK = r'_:[^\s<>"]*[^\s<>".]'
+_LITERAL = rf'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\^\^{_IRI}|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
+_LINE = rf"^[ \t]*({_IRI}|{_BLANK})[ \t]*({_IRI})[ \t]*({_IRI}|{_BLANK}|{_LITERAL})[ \t]*\.[ \t]*(?:#.*)?$"
+_NO_TRIPLE = r"^[ \t]*(?:#.*)?$"
+
+
+def _unescaped(c: Column, text: bool) -> Column:
+    """A term's escapes as the characters they stand for; in a literal, those that ``literal`` sets stay or are set."""
+    kept = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r"} if text else {}
+    short = {"t": "\t", "b": "\b", "f": "\f", "'": "'"} | ({} if text else {"n": "\n", "r": "\r", '"': '"', "\\": "\\"})
+
+    def one(x: Column) -> Column:
+        code = F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0"))
+        char = F.decode(code, "UTF-32")
+        for raw, escaped in kept.items():
+            char = F.when(char == raw, F.lit(escaped)).otherwise(char)
+        out = F.when(F.length(x) > 2, char)
+        for letter, raw in short.items():
+            out = out.when(x == "\\" + letter, F.lit(raw))
+        return F.when(x.startswith("\\"), out.otherwise(x)).otherwise(x)
+
+    pieces = F.regexp_extract_all(c, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
+def malformed_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (value) that are neither a triple nor empty nor a comment."""
+    return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(_NO_TRIPLE))
+
+
+def read_ntriples(spark: SparkSession, path: str, *, malformed: str = "raise") -> DataFrame:
+    """triples (s, p, o) of N-Triples files: one line a triple, parsed where the lines are.
+
+    Escapes are resolved, so that a term equals the one that the other parsers give. A line that is no
+    triple fails the read, or is left out with ``malformed="skip"``; ``malformed_ntriples`` lists them.
+    """
+    if malformed not in ("raise", "skip"):
+        raise ValueError(f"malformed: {malformed}")
+    lines = spark.read.text(path)
+    if malformed == "skip":
+        lines = lines.where(F.col("value").rlike(_LINE))
+    else:
+        lines = lines.where(~F.col("value").rlike(_NO_TRIPLE))
+        bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200)))
+        lines = lines.select(F.when(F.col("value").rlike(_LINE), F.col("value")).otherwise(bad.cast("string")).alias("value"))
+    part = lambda k: F.regexp_extract("value", _LINE, k)
+
+    def term(c: Column) -> Column:
+        iri = _unescaped(F.regexp_replace(c, "^<(.*)>$", "$1"), False)
+        return F.when(c.startswith('"'), _unescaped(c, True)).when(c.startswith("<"), iri).otherwise(c)
+
+    return lines.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o")).select(*(term(F.col(c)).alias(c) for c in "spo")).distinct()
+
+
+#: Characters that an IRI can't hold, written by their code.
+_NOT_IN_IRI = ("\\", " ", "<", ">", '"', "{", "}", "|", "^", "`", "\t", "\n", "\r")
+
+
+def _written(c: str) -> Column:
+    iri = F.col(c)
+    for x in _NOT_IN_IRI:
+        iri = F.replace(iri, F.lit(x), F.lit(f"\\u{ord(x):04X}"))
+    return F.when(F.col(c).startswith('"') | F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
 
 
 def write_ntriples(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Writes triples (s, p, o) as N-Triples."""
-    term = lambda c: F.when(F.col(c).startswith('"') | F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
-    triples.select(F.concat_ws(" ", term("s"), F.concat(F.lit("<"), "p", F.lit(">")), term("o"), F.lit(".")).alias("value")).write.mode(mode).text(path)
+    """Writes triples (s, p, o) as N-Triples; what an IRI can't hold is escaped, and read back as it was."""
+    triples.select(F.concat_ws(" ", _written("s"), _written("p"), _written("o"), F.lit(".")).alias("value")).write.mode(mode).text(path)
+
+
+def turtle_text(triples: list[Triple], prefixes: dict[str, str] | None = None) -> str:
+    """Turtle of schema-sized triples: prefixes {name: IRI}, a subject's statements together."""
+    prefixes = dict(prefixes or {})
+
+    def term(x: str) -> str:
+        if x.startswith('"'):
+            head, mark, datatype = x.rpartition('"^^<')
+            return f'{head}"^^{term(datatype[:-1])}' if mark else x
+        if x.startswith("_:"):
+            return x
+        for name, iri in prefixes.items():
+            if x.startswith(iri) and re.fullmatch(r"[A-Za-z0-9_][\w-]*", x[len(iri) :]):
+                return f"{name}:{x[len(iri):]}"
+        return f"<{x}>"
+
+    by: dict[str, dict[str, list[str]]] = {}
+    for s, p, o in triples:
+        by.setdefault(s, {}).setdefault(p, []).append(o)
+    out = [f"@prefix {name}: <{iri}> ." for name, iri in prefixes.items()]
+    for s, said in by.items():
+        out.append(f"{term(s)} " + " ;\n    ".join(f"{'a' if p == TYPE else term(p)} " + ", ".join(map(term, objects)) for p, objects in said.items()) + " .")
+    return "\n".join(out) + "\n"
+
+
+def import_individuals(data: DataFrame, schema: list[Triple]) -> DataFrame:
+    """Data triples with those of the schema's named individuals that they mention, and of all these mention.
+
+    Individuals that the schema makes the same share what it says of each. Only which of the schema's
+    individuals occur in the data reaches the driver.
+    """
+    own = {s for s, p, o in schema if p == TYPE and o == OWL + "NamedIndividual"}
+    if not own:
+        return data
+    group = {x: {x} for x in own}
+    for s, p, o in schema:
+        if p == OWL + "sameAs" and s in own and o in own and group[s] is not group[o]:
+            group[s] |= group[o]
+            for x in group[s]:
+                group[x] = group[s]
+    said: dict[str, list[tuple[str, str]]] = {}
+    for s, p, o in schema:
+        if s in own:
+            said.setdefault(s, []).append((p, o))
+    spark = data.sparkSession
+    import pyarrow as pa
+
+    names = spark.createDataFrame(pa.table({"id": pa.array(sorted(own), pa.string())}))
+    ends = data.select(F.col("s").alias("id")).unionByName(data.select(F.col("o").alias("id")))
+    todo = [r.id for r in ends.join(names, "id", "left_semi").distinct().collect()]
+    done: set[str] = set()
+    out: list[Triple] = []
+    while todo:
+        x = todo.pop()
+        if x not in done:
+            done.add(x)
+            for p, o in dict.fromkeys(y for m in sorted(group[x]) for y in said.get(m, ())):
+                out.append((x, p, o))
+                todo += [o] if o in own else []
+    return data.select("s", "p", "o").unionByName(triples_frame(spark, out)).distinct()
 
 
 def graph_triples(graph: Graph, threshold: float = 0.5) -> DataFrame:
@@ -313,6 +431,14 @@ def facts_from_triples(triples: DataFrame, *, literals: bool = True, type_edges:
     return Facts(Graph(nodes, edges, types.withColumn("w", F.lit(1.0))), same, different, denied.where(F.col("p") != TYPE), denied_types)
 
 
+def load_facts(spark: SparkSession, path: str, **options) -> Facts:
+    """Facts of N-Triples files, parsed once: triples, nodes, edges and types are written to the shared folder."""
+    facts = facts_from_triples(materialize(read_ntriples(spark, path), "triples"), **options)
+    g = facts.graph
+    graph = replace(g, nodes=materialize(g.nodes, "nodes"), edges=materialize(g.edges, "edges"), types=materialize(g.types, "types"))
+    return replace(facts, graph=graph)
+
+
 def triples_frame(spark: SparkSession, triples: list[Triple]) -> DataFrame:
     """Driver-side triples as a table."""
     import pyarrow as pa

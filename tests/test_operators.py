@@ -118,6 +118,38 @@ def test_random_graphs_against_the_interpreter(spark, seed):
             assert got[v][name] == pytest.approx(want[i][v]), (name, d.nodes[i], v)
 
 
+def random_graph_of(rng, n=9, edges=22):
+    nodes = {i: ("int", float(i)) if i % 4 == 3 else (None, None) for i in range(n)}
+    return nodes, list({(f"p{rng.randrange(3)}", rng.randrange(n), rng.randrange(n)) for _ in range(edges)}), {(rng.randrange(n), f"c{rng.randrange(3)}"): 1.0 for _ in range(12)}
+
+
+def test_scale_of_every_kind(spark):
+    rng = random.Random(9)
+    nodes, edges, types = random_graph_of(rng)
+    d = Dag()
+    a, b = d.atomic("c0"), d.atomic("c1")
+    for x in (0.0, 0.5):
+        d.const(scale=x), d.atomic("c2", scale=x), d.nominal(3, scale=x), d.datatype("int", scale=x), d.negation(a, scale=x), d.intersection(a, b, scale=x), d.union(a, b, scale=x)
+        d.exists("p0", a, scale=x), d.forall("p0", a, scale=x), d.exists_transitive("p0", a, scale=x), d.min_card(1, "p0", a, scale=x), d.max_card(1, "p0", a, scale=x)
+        d.exact_card(1, "p0", a, scale=x), d.min_card(2, "p0", a, fuzzy=True, scale=x), d.has_self("p0", scale=x), d.has_self("p2", scale=x), d.path_step("p1", "c0", scale=x)
+    assert {n.kind for n in d.nodes if n.scale == 0.0} == set(Kind)
+    got = run(spark, d, {f"n{i}": i for i in range(len(d.nodes))}, nodes, edges, types, frozenset({"p2"}))
+    want = evaluate(d, nodes, edges, types, frozenset({"p2"}))
+    for i, n in enumerate(d.nodes):
+        for v in nodes:
+            assert got[v][f"n{i}"] == pytest.approx(want[i][v]), (n, v)
+
+
+def test_a_path_alone_is_that_of_its_definition(spark):
+    rng = random.Random(3)
+    nodes, edges, types = random_graph_of(rng, 12, 40)
+    for length in (1, 3, 10):
+        d, root = path_pattern([(f"p{rng.randrange(3)}", f"c{rng.randrange(4)}") for _ in range(length)])
+        got = run(spark, d, {"score": root}, nodes, edges, types, frozenset())
+        want = evaluate(d, nodes, edges, types)[root]
+        assert {v: got[v]["score"] for v in nodes} == pytest.approx(want)
+
+
 def test_reasoner(spark):
     d = Dag()
     d.root("x", d.exists("p", d.atomic("c"))).root("y", d.atomic("c"))

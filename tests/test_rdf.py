@@ -2,7 +2,7 @@ import pytest
 
 from ontoflow.operators.bgp import match
 from ontoflow.plans.schema import Schema, strongly_connected
-from ontoflow.sources.rdf import OWL, TYPE, XSD, facts_from_triples, graph_triples, literal, literal_parts, parse_rdfxml, parse_turtle, read_ntriples, triples_frame, write_ntriples
+from ontoflow.sources.rdf import OWL, TYPE, XSD, facts_from_triples, graph_triples, import_individuals, literal, literal_parts, malformed_ntriples, parse_rdfxml, parse_turtle, read_ntriples, triples_frame, turtle_text, write_ntriples
 
 PREFIX = f"@prefix e: <urn:e:> . @prefix owl: <{OWL}> . @prefix xsd: <{XSD}> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
 
@@ -45,5 +45,36 @@ def test_ntriples_round_trip(spark, tmp_path):
         match(t, [("?x", TYPE, "?y"), ("?z", TYPE, "?w")])
 
 
+def test_ntriples_by_the_grammar(spark, tmp_path):
+    """Terms equal those of the Turtle parser, whatever is escaped; lines without spaces count, others are told."""
+    lines = [r'<urn:e:a><urn:e:p><urn:e:b>.', r'<urn:e:a> <urn:e:p> "caf\u00e9 \U0001F600 \"q\" \\ tab\t \n"@en .', r"_:n1	<urn:e:p>	_:n2 . # said", "", "# only a comment", r'<urn:e:\u00fc> <urn:e:p> "1"^^<' + XSD + 'integer>.', r'<urn:e:c> <urn:e:p> "it\'s \u0022" .']
+    (tmp_path / "a.nt").write_text("\n".join(lines), encoding="utf-8")
+    got = {tuple(r) for r in read_ntriples(spark, str(tmp_path / "a.nt")).collect()}
+    turtle = PREFIX + """e:a e:p e:b , "caf\\u00e9 \\U0001F600 \\"q\\" \\\\ tab\\t \\n"@en . _:n1 e:p _:n2 . <urn:e:ü> e:p 1 . e:c e:p "it's \\"" ."""
+    assert {t for t in got if not t[0].startswith("_:")} == {t for t in parse_turtle(turtle) if not t[0].startswith("_:")} and ("_:n1", "urn:e:p", "_:n2") in got
+    (tmp_path / "b.nt").write_text('<urn:e:a> <urn:e:p> <urn:e:b>\n<urn:e:a> <urn:e:p> "x .\n<urn:e:a> <urn:e:p> <urn:e:c> .\n' + '<urn:e:a> <urn:e:p> "' + "y\\n" * 50_000 + '" .\n')
+    assert read_ntriples(spark, str(tmp_path / "b.nt"), malformed="skip").count() == 2 == malformed_ntriples(spark, str(tmp_path / "b.nt")).count()
+    with pytest.raises(Exception, match="not a triple"):
+        read_ntriples(spark, str(tmp_path / "b.nt")).collect()
+    got.add(("urn:e:a b", "urn:e:p", "urn:e:{c}\\"))
+    write_ntriples(triples_frame(spark, sorted(got)), str(tmp_path / "c"))
+    assert {tuple(r) for r in read_ntriples(spark, str(tmp_path / "c")).collect()} == got
+
+
+def test_turtle_round_trip():
+    t = parse_turtle(PREFIX + 'e:a a e:C ; e:p e:b , "x\\n\\"y"@en , 7 , "1"^^e:unit . e:b e:q "plain" , e:a.b .')
+    text = turtle_text(t, {"e": "urn:e:", "xsd": XSD})
+    assert "e:a a e:C" in text and "^^xsd:integer" in text and sorted(parse_turtle(text)) == sorted(t)
+
+
+def test_individuals_of_the_schema(spark):
+    schema = parse_turtle(PREFIX + """e:port a owl:NamedIndividual , e:Harbour ; e:in e:bay . e:bay a owl:NamedIndividual , e:Water . e:haven a owl:NamedIndividual ; owl:sameAs e:port ; e:depth 9 .
+        e:inland a owl:NamedIndividual , e:Town .""")
+    data = triples_frame(spark, [("urn:e:ship", "urn:e:calls", "urn:e:port")])
+    got = {tuple(r) for r in import_individuals(data, schema).collect()}
+    assert {("urn:e:port", "urn:e:depth", f'"9"^^<{XSD}integer>'), ("urn:e:bay", TYPE, "urn:e:Water"), ("urn:e:ship", "urn:e:calls", "urn:e:port")} <= got
+    assert not any("inland" in x for t in got for x in t) and import_individuals(data, []).count() == 1
+
+
 def test_components_order():
     assert strongly_connected({"a": {"b"}, "b": {"c"}, "c": {"b"}, "d": set()}) == [["b", "c"], ["a"], ["d"]]
