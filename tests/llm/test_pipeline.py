@@ -20,7 +20,7 @@ def test_stages_and_names():
 
 def test_filters_keep_columns_and_clean_rows(spark, tmp_path):
     clean = [(i, " ".join(f"some{i} words{i * 7 + k} follow{k}" for k in range(40)), "en", "s", 9) for i in range(30)]
-    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    passage = "some words follow some follow words words some follow follow words some"
     rows = [*clean, (50, clean[3][1], "en", "s", 9), (51, "?! 12", "en", "s", 9), (52, f"{passage} and more", "en", "s", 9), (None, None, None, None, None)]
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -63,7 +63,7 @@ def test_empty_tables_and_clashing_names(spark, tmp_path):
             out = stage(spark, out, str(tmp_path))
             assert out.columns == [x.split()[0] for x in kind.split(", ")]
         assert [tuple(r) for r in out.collect()] == rows[:1]
-        assert corpus_pipeline.pack(spark, out, str(tmp_path)).count() == len(rows[:1])
+        assert corpus_pipeline.pack(spark, out, str(tmp_path)).select("doc_id").distinct().count() == len(rows[:1])
 
 
 def test_pack_gives_the_ids(spark):
